@@ -25,6 +25,20 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_into_shards(_table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that stand earlier already."""
+    from tabweave.llm.repeats import drop_repeats
+
+    return drop_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "text", "words_removed")
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that an earlier near or exact copy stands for, with that one."""
+    from tabweave.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
