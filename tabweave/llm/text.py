@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 CHUNK = 2 << 20  # bytes of text that one NumPy pass holds; the arrays beside it are a few dozen times that
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_TABLE = np.random.Generator(np.random.PCG64(20240517)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_HASH = np.random.Generator(np.random.PCG64(20240517)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Everything in ASCII but letters and digits, for words without punctuation.
@@ -102,7 +102,7 @@ def word_hashes(col: pa.Array, breaks: np.ndarray = SPACE) -> tuple[np.ndarray,
     """A hash of each word of all texts, and the offsets of each text's words."""
     buf, off = utf8(col)
     start, end, at = words(buf, off, breaks)
-    return spans_hash(_TABLE[buf], start, end) if len(start) else np.zeros(0, np.uint64), at
+    return spans_hash(BYTE_HASH[buf], start, end) if len(start) else np.zeros(0, np.uint64), at
 
 
 def runs_hash(hashes: np.ndarray, k: int) -> np.ndarray:
