@@ -18,6 +18,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and main text of every page."""
+    from tabweave.llm.html import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of which document each sequence of 2,048 words holds."""
     from tabweave.llm.packing import pack
@@ -46,6 +53,13 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "text", "words_removed")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    from tabweave.llm.bpe import encode
+
+    return encode(_table(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that an earlier near or exact copy stands for, with that one."""
     from tabweave.llm.minhash import near_duplicates
