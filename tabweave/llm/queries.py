@@ -25,6 +25,20 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op3_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector that has a near-duplicate with a smaller id, with the least of its group."""
+    from tabweave.llm.multiindex import near_duplicate_vectors
+
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest others of every vector."""
+    from tabweave.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of which document each sequence of 2,048 words holds."""
     from tabweave.llm.packing import pack
