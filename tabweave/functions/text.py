@@ -148,3 +148,8 @@ def split_part(c: Column) -> Column:
     """Without blanks and dashes around it, and without one pair of brackets around all of it."""
     c = F.regexp_replace(c, "^[ -]+|[ -]+$", "")
     return F.when(c.startswith("(") & c.endswith(")"), strip(F.substring(c, F.lit(2), F.greatest(F.length(c) - 2, F.lit(0))))).otherwise(c)
+
+
+def tokens(c: Column) -> Column:
+    """Words between white space and commas; # begins a comment."""
+    return F.filter(F.split(F.regexp_replace(c, "#[^\n]*", ""), r"(?U)[\s,]+"), lambda w: w != "")

@@ -79,8 +79,9 @@ def _distinct_readers(out: DataFrame, keys: list[str], readers: DataFrame) -> Da
     agents = F.count(F.when(is_agent(F.col("reader")), 1))
     classic = F.count_distinct(F.when(~is_agent(F.col("reader")), F.col("reader")))
     levels = one.groupBy(*keys).agg(F.greatest(F.lit(1), agents + classic).cast("int").alias("__level"))
-    on = [out[k].eqNullSafe(levels[k]) for k in keys]
-    joined = out.join(levels, on, "left").select(*[out[c] for c in out.columns], "__level")
+    levels = levels.select(*(F.col(k).alias(f"__{k}") for k in keys), "__level")
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    joined = out.join(levels, on, "left").drop(*(f"__{k}" for k in keys))
     return joined.withColumn("agreement_level_", F.when(F.col("__n") > 1, F.coalesce("__level", F.lit(1))).otherwise(F.col("agreement_level_"))).drop("__level")
 
 

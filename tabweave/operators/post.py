@@ -43,9 +43,13 @@ def filter_schema_tables(rows: DataFrame, table: Sequence[str], schema: Sequence
     return rows.join(kept, list(table), "left_semi")
 
 
+def _named(name: str):
+    return lambda c: c["name"] == name
+
+
 def order_cells(cells: Column, schema: Sequence[str]) -> Column:
     """The schema's columns first, in its order, then the others in theirs."""
-    first = [F.filter(cells, lambda c, n=n: c["name"] == n) for n in schema]
+    first = [F.filter(cells, _named(n)) for n in schema]
     return F.concat(*first, F.filter(cells, lambda c: ~c["name"].isin(*schema))) if schema else cells
 
 

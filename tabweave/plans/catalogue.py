@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tabweave.plans import aligning, cleaning, measuring, reading, shaping, uniting  # noqa: F401 - they register their queries
+from tabweave.plans.registry import ORACLE, QUERIES  # noqa: F401

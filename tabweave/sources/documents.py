@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.functions.names import plain_name
@@ -177,3 +177,11 @@ def uncached(files: DataFrame, cache: DataFrame, key: str = "paper") -> DataFram
 
 def write_mapping(path: str, mapping: dict, model: str, date: str) -> None:
     Path(path).write_text(json.dumps({**mapping, "metadata": {"model": model, "date": date}}, ensure_ascii=False, indent=2), encoding="utf-8")
+
+
+def page_range(c: Column) -> Column:
+    """(path, first_page, last_page) of path:from:to; any other text is a path, without pages."""
+    pattern = r"(?s)^(.+):(\d+):(\d+)$"
+    hit = c.rlike(pattern)
+    number = lambda k: F.when(hit, F.regexp_extract(c, pattern, k)).cast("bigint")
+    return F.struct(F.when(hit, F.regexp_extract(c, pattern, 1)).otherwise(c).alias("path"), number(2).alias("first_page"), number(3).alias("last_page"))
