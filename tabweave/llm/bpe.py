@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a minimal acyclic transducer for the frequent pre-tokens.
 
-Pre-tokens are counted over all documents. The ``lexicon`` most frequent ones (a parameter: it bounds the memory,
-never the result) are compiled into a minimal acyclic automaton: equal suffixes share states, and the edges' adds
+Pre-tokens are counted over all documents. The most frequent ones, ``lexicon`` at most (a parameter: it bounds the
+memory, never the result), are compiled into a minimal acyclic automaton: equal suffixes share states, and the edges' adds
 number the words, which makes it a transducer to their ids. It is one file in the shared folder, which Spark hands
 to the executors and their workers map into memory. Pre-tokens that it does not hold are merged by rank, exactly.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.llm.text import slices
-from tabweave.session import hadoop_path, shared_dir, ship
+from tabweave.session import Stored, hadoop_path, shared_dir, ship
 
 VOCABULARY, LEXICON, LONGEST = "/opt/tokenizers/byte_bpe_50k.tiktoken", 65_536, 64
 EXACT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -227,7 +227,10 @@ class Encoder:
 
 
 def frequent(df: DataFrame, text_col: str, size: int = LEXICON) -> list[str]:
-    """The ``size`` most frequent pre-tokens of all texts, of equals the first by code points; very long ones stay out."""
+    """The most frequent pre-tokens of all texts, sorted: as many counts, from the largest on, as have ``size`` words at most.
+
+    Very long ones and those that occur once stay out. Only the words found and a summary of the counts reach the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -246,7 +249,31 @@ def frequent(df: DataFrame, text_col: str, size: int = LEXICON) -> list[str]:
         yield out()
 
     words = df.select(F.col(text_col).alias("t")).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r.w for r in words.where(F.octet_length("w") <= LONGEST).orderBy(F.desc("n"), "w").limit(size).collect()]  # bounded by the parameter
+    counted = Stored(words.where((F.octet_length("w") <= LONGEST) & (F.col("n") > 1)))
+    cut = least_count(counted.df, size)
+    found = sorted(r.w for r in counted.df.where(F.col("n") >= cut).select("w").collect())  # ``size`` at most
+    counted.drop()
+    return found
+
+
+def least_count(words: DataFrame, size: int) -> int:
+    """The least count ``n`` that at most ``size`` rows reach: by the counts' magnitudes first, then within one of them."""
+    scale = F.floor(F.log2("n") * 16)
+    above, within = 0, None
+    for r in words.groupBy(scale.alias("s")).count().orderBy(F.desc("s")).collect():  # 16 for each doubling of the largest count
+        if above + r["count"] > size:
+            within = r["s"]
+            break
+        above += r["count"]
+    if within is None:
+        return 0
+    cut = None
+    for r in words.where(scale == within).groupBy("n").count().orderBy(F.desc("n")).collect():  # counts that differ by 4 % at most
+        above += r["count"]
+        cut = r["n"] + 1 if above > size else cut
+        if above > size:
+            break
+    return cut
 
 
 def publish(spark: SparkSession, lexicon: Transducer) -> str:
