@@ -233,7 +233,7 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _texts_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
     lists = rows.groupBy("id", "th").agg(F.collect_list(F.struct("bucket", "i0", "i1")).alias("x"))
-    return lists.join(docs.dropDuplicates(["id", "th"]) if False else docs, ["id", "th"]).select("id", "th", "text", "x")
+    return lists.join(docs, ["id", "th"]).select("id", "th", "text", "x")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, anchor: int = ANCHOR, crowd: int = CROWD, bucket: int = BUCKET) -> DataFrame:
