@@ -59,7 +59,7 @@ def write_papers(docs: DataFrame, out: str, pretty: bool = False) -> int:
 
 def write_merge_metadata(out: str, sources: Sequence[tuple[str, Mapping]], settings: Mapping | None = None, **extra) -> dict:
     """What was merged, when, under a new uuid."""
-    meta = {"reader": "tablemerge", "uuid": str(uuid_.uuid4()), "datetime": datetime.now(timezone.utc).isoformat(), "sources": [{"path": p, **{k: m[k] for k in ("uuid", "reader") if m.get(k)}} for p, m in sources], **extra}
+    meta = {"reader": "merge", "uuid": str(uuid_.uuid4()), "datetime": datetime.now(timezone.utc).isoformat(), "sources": [{"path": p, **{k: m[k] for k in ("uuid", "reader") if m.get(k)}} for p, m in sources], **extra}
     if settings:
         meta["settings"] = dict(settings)
     write_json(f"{out}/{METADATA}", meta)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabweave.functions import cells as C
 from tabweave.functions.names import PaperAlias
 
-SUFFIX, METADATA, SETTINGS = ".tables.json", "tables.metadata.json", "settings.tablemerge.json"
+SUFFIX, METADATA, SETTINGS = ".tables.json", "tables.metadata.json", "settings.merge.json"
 RESERVED = ("agreement_level_", "sources_", "row_")
 FILE = "tables array<string>, citation variant, metadata string, uuid string"
 
@@ -40,11 +40,13 @@ def read_resultset_metadata(directory: str) -> dict:
 def read_with_settings(directory: str) -> tuple[dict, dict]:
     """A result set's metadata and the settings it was merged with."""
     meta = read_resultset_metadata(directory)
-    if meta.get("reader") == "tablemerge":
+    if "sources" in meta:  # a merged set
         meta.setdefault("agreement_method", "simple-count")
-    p = Path(directory) / SETTINGS
     own = meta.get("settings")
-    return meta, json.loads(p.read_text(encoding="utf-8")) if p.exists() else own if isinstance(own, dict) else {}
+    for p in [Path(directory) / SETTINGS, *sorted(Path(directory).glob("settings.*.json"))]:
+        if p.exists():
+            return meta, json.loads(p.read_text(encoding="utf-8"))
+    return meta, own if isinstance(own, dict) else {}
 
 
 def paper_matches(stem: Column, pattern: str) -> Column:
