@@ -233,7 +233,7 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _texts_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
     lists = rows.groupBy("id", "th").agg(F.collect_list(F.struct("bucket", "i0", "i1")).alias("x"))
-    return lists.join(docs, ["id", "th"]).select("id", "th", "text", "x")
+    return lists.join(docs.hint("merge"), ["id", "th"]).select("id", "th", "text", "x")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, anchor: int = ANCHOR, crowd: int = CROWD, bucket: int = BUCKET) -> DataFrame:
@@ -301,7 +301,7 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lists = spans.df.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("__spans")).toDF("__id", "__th", "__spans")
     df = df.drop("words_removed")
     docs = df.withColumn("__id0", F.col(id_col).cast("bigint")).withColumn("__th0", F.xxhash64(text_col, F.length(text_col)))
-    both = docs.join(lists, (F.col("__id0") == F.col("__id")) & (F.col("__th0") == F.col("__th")), "left").select(*[F.col(f"`{c}`") for c in df.columns], "__spans")
+    both = docs.join(lists.hint("merge"), (F.col("__id0") == F.col("__id")) & (F.col("__th0") == F.col("__th")), "left").select(*[F.col(f"`{c}`") for c in df.columns], "__spans")
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
