@@ -12,7 +12,7 @@ from tabweave.functions import text as X
 from tabweave.functions.names import ColumnSchema, parse_column_aliases, parse_hints, parse_paper_aliases
 from tabweave.operators import align, clean, merge, post, shape
 from tabweave.plans.settings import MergeSettings
-from tabweave.session import ship
+from tabweave.session import ship, store
 from tabweave.sources import sinks
 from tabweave.sources.tables import SETTINGS, ResultSets, curated_papers, read_resultset_metadata, read_resultsets
 
@@ -44,7 +44,7 @@ def load(found: ResultSets, s: MergeSettings, vocabulary: DataFrame | None = Non
         tables = fragments.select(*FILE, "table_idx")
     elif s.transform_tablesfile:
         tables, fragments, rows = shape.compact_fragments(tables, fragments, rows, FILE, s.transform_tablesfile == "safe-compact")
-    rows = align.normalize_column_names(rows)
+    rows = store(align.normalize_column_names(store(rows)))  # written in between: Catalyst would inline each step's cells into the next ones
     if s.hints_column_alignment:
         rows = align.apply_mapping(rows, align.hints_mapping(rows, FRAGMENT, hints, s.hints_column_alignment == "safe"), FRAGMENT)
     if s.column_aliases:
@@ -52,6 +52,8 @@ def load(found: ResultSets, s: MergeSettings, vocabulary: DataFrame | None = Non
     if s.column_name_semantic_alignment and schema:
         found_ = align.semantic_mapping(rows, FRAGMENT, schema.names, s.column_alignment_threshold)
         rows = align.apply_mapping(rows, found_.select(*FRAGMENT, "source", "target"), FRAGMENT)
+    if s.hints_column_alignment or s.column_aliases or s.column_name_semantic_alignment:
+        rows = store(rows)
     if s.remove_header_rows:
         rows = clean.filter_header_rows(rows, hints)
     return ResultSets(found.files, tables, fragments, rows)
@@ -68,7 +70,7 @@ def merged(found: ResultSets, s: MergeSettings) -> tuple[DataFrame, DataFrame, D
         full = align.align_clusters(full, ["paper", "table_idx", "adj_page", "position"], threshold=s.column_alignment_threshold, schema=schema.names if schema else None, semantic=s.column_value_semantic_alignment, jaccard=s.jaccard_column_alignment)
         rows = full.select(*rows.columns)
     readers = found.files.select("uuid", "reader").where("uuid is not null").distinct()
-    fragments, rows = merge.merge_fragments(found.files, found.fragments, rows, s.agreement_method, readers)
+    fragments, rows = map(store, merge.merge_fragments(found.files, found.fragments, store(rows), s.agreement_method, readers))
     tables = found.tables.select("paper", "table_idx").distinct()
     if s.only_semantic_columns:
         rows = post.only_semantic_columns(rows)
@@ -103,6 +105,7 @@ def merge_directories(spark: SparkSession, s: MergeSettings, out: str | None = N
     if metadata_only:
         return None
     found = read_resultsets(spark, s.paths, parse_paper_aliases(s.paper_aliases) if s.paper_aliases else None, paper)
+    found = ResultSets(*map(store, (found.files, found.tables, found.fragments, found.rows)))  # files are parsed once
     some = found.tables.select("paper").distinct()
     files = found.files.join(some, "paper", "left_semi")
     if out and not force:
