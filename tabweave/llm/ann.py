@@ -3,9 +3,8 @@
 Balanced k-means over the whole table gives about sqrt(n) / 4 centroids, so lists and centroids grow alike. A
 vector is filed under its nearest centroid and, at a boundary, under others that are nearly as near, unless a
 nearer one of its lists lies closer to that centroid than the vector does. The centroids are searched in memory,
-through a graph of their nearest neighbours: from an entry point, the nearest open node is expanded as long as it
-is within the ratio asked for. A query takes the lists whose centroids are within ``ratio`` times the distance of
-its nearest one. That ratio is not guessed: the exact neighbours of ``probes`` queries in the whole table tell how
+all of them for each vector, which costs as much as a round of the k-means. A query takes the lists whose centroids
+are within ``ratio`` times the distance of its nearest one. That ratio is not guessed: the exact neighbours of ``probes`` queries in the whole table tell how
 far it must reach for the target recall.
 """
 
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 from tabweave.llm.vectors import kmeans, lists, matrix, usable
 from tabweave.session import Stored, ship
 
-K, RECALL, PROBES, BOUNDARY, DEGREE, ROUNDS = 10, 0.95, 256, 1.05, 16, 4
-SLACK = 1.15
+K, RECALL, PROBES, BOUNDARY, ROUNDS = 10, 0.95, 256, 1.05, 4
+NEAR = 1e-6  # distances below it count as it, for ratios
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -31,40 +30,21 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T)).clip(0)
 
 
-class Graph:
-    """Centroids with their nearest neighbours, and a ring, so that all can be reached."""
+class Centroids:
+    """All centroids; a search holds each row against every one of them, as a round of k-means does, so none is missed."""
 
-    def __init__(self, centres: np.ndarray, degree: int = DEGREE):
-        self.centres, n = centres, len(centres)
-        self.links = np.zeros((n, min(degree, n) + 1), np.int64)
-        for lo in range(0, n, 1024):
-            d = distances(centres[lo : lo + 1024], centres)
-            self.links[lo : lo + 1024, :-1] = np.argpartition(d, self.links.shape[1] - 2, 1)[:, : self.links.shape[1] - 1]
-        self.links[:, -1] = (np.arange(n) + 1) % max(n, 1)
-        self.entry = int(distances(centres.mean(0, keepdims=True), centres).argmin()) if n else 0
+    def __init__(self, centres: np.ndarray):
+        self.centres = centres
+
+    def far(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances of the rows to all centroids."""
+        return distances(x, self.centres)
 
     def within(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, centroid, distance) of the centroids that are within ``ratio`` of the row's nearest one, as found."""
-        n, reach = len(x), (max(ratio, SLACK)) ** 2
-        seen = np.full((n, len(self.centres)), np.inf, np.float32)
-        done = np.zeros(seen.shape, bool)
-        norms = (self.centres * self.centres).sum(1)
-        own = (x * x).sum(1)
-        rows = np.arange(n)
-        seen[:, self.entry] = distances(x, self.centres[self.entry : self.entry + 1])[:, 0]
-        while len(rows):
-            open_ = np.where(done[rows], np.inf, seen[rows])
-            at = open_.argmin(1)
-            near = open_[np.arange(len(rows)), at]
-            go = (near < np.inf) & (near <= seen[rows].min(1) * reach + 1e-12)
-            rows, at = rows[go], at[go]
-            done[rows, at] = True
-            to = self.links[at]
-            d = own[rows, None] + norms[to] - 2 * np.einsum("ijk,ik->ij", self.centres[to], x[rows])
-            seen[rows[:, None], to] = d.clip(0)
-        best = seen.min(1, keepdims=True)
-        i, c = np.nonzero(seen <= best * ratio**2 + 1e-12)
-        return i, c, np.sqrt(seen[i, c])
+        """(row, centroid, distance) of the centroids that are within ``ratio`` of the row's nearest one."""
+        d = self.far(x)
+        i, c = np.nonzero(d <= np.maximum(d.min(1, keepdims=True), NEAR**2) * ratio**2) if d.size else (np.zeros(0, np.int64),) * 2
+        return i, c, np.sqrt(d[i, c])
 
     def filed(self, x: np.ndarray, boundary: float = BOUNDARY) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of each row's posting lists, the nearest centroid's and those at its boundary."""
@@ -136,7 +116,7 @@ def _exact(rows: DataFrame, queries: np.ndarray, own: np.ndarray, k: int) -> np.
     return out
 
 
-def ratio_for(rows: DataFrame, graph: Graph, k: int, recall: float, probes: int) -> float:
+def ratio_for(rows: DataFrame, centroids: Centroids, k: int, recall: float, probes: int) -> float:
     """The distance ratio at which ``recall`` of the probes' true neighbours are in a list that is taken."""
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(probes).collect()
     if not chosen:
@@ -146,11 +126,11 @@ def ratio_for(rows: DataFrame, graph: Graph, k: int, recall: float, probes: int)
     for x, near in zip(q, _exact(rows, q, own, k)):
         near = near[~np.isnan(near[:, 0])]
         if len(near):
-            far = np.sqrt(distances(x[None], graph.centres)[0])
-            i, c = graph.filed(near)
+            far = np.sqrt(centroids.far(x[None])[0])
+            i, c = centroids.filed(near)
             least = np.full(len(near), np.inf)
             np.minimum.at(least, i, far[c])
-            need.append(least / max(float(far.min()), 1e-6))
+            need.append(least / max(float(far.min()), NEAR))
     return float(np.quantile(np.concatenate(need), recall, method="higher")) + 1e-6 if need else 1.0
 
 
@@ -167,9 +147,9 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
     src, d = usable(df, id_col, vector_col)
     rows = Stored(src).df
     n = rows.count()
-    graph = Graph(kmeans(rows.select("vec"), max(d, 1), 1, max(1, math.ceil(math.sqrt(n) / 4)), ROUNDS, balance=0.2)[0] if n else np.zeros((0, 1), np.float32))
-    ratio = ratio_for(rows, graph, k, recall, probes)
-    shared = spark.sparkContext.broadcast(graph)  # grows with the square root of the table
+    centroids = Centroids(kmeans(rows.select("vec"), max(d, 1), 1, max(1, math.ceil(math.sqrt(n) / 4)), ROUNDS, balance=0.2)[0] if n else np.zeros((0, 1), np.float32))
+    ratio = ratio_for(rows, centroids, k, recall, probes)
+    shared = spark.sparkContext.broadcast(centroids)  # grows with the square root of the table
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(shared.value.centres), np.int64)
@@ -178,7 +158,7 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
                 n += np.bincount(shared.value.filed(matrix(b.column(0).slice(lo, 512)))[1], minlength=len(n))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["c", "n"])
 
-    sizes = np.zeros(len(graph.centres), np.int64)
+    sizes = np.zeros(len(centroids.centres), np.int64)
     for r in rows.select("vec").mapInArrow(counted, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect():
         sizes[r.c] = r.n  # a number for each list
 
@@ -193,7 +173,7 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
                 qi, qc, _ = g.within(x, ratio)
                 few = np.flatnonzero(np.bincount(qi, sizes[qc], len(x)) < min(enough, sizes.sum()))
                 if len(few):  # lists too short for k: the nearest ones that hold enough
-                    near = distances(x[few], g.centres).argsort(1, kind="stable")
+                    near = g.far(x[few]).argsort(1, kind="stable")
                     more = np.cumsum(sizes[near], 1) - sizes[near] < enough
                     rest = ~np.isin(qi, few)
                     qi, qc = np.concatenate([qi[rest], np.repeat(few, more.sum(1))]), np.concatenate([qc[rest], near[more]])

@@ -60,3 +60,17 @@ def test_few_and_equal_vectors(spark):
     many = [(i, [1.0, 1.0]) for i in range(100)]
     got = ann.nearest_neighbours(frame(spark, many)).collect()
     assert len(got) == 1000 and all(r.distance == 0 for r in got)
+
+
+def test_every_centroid_in_reach_is_found():
+    rng = np.random.default_rng(5)
+    groups = 4 * rng.normal(size=(25, 64))
+    centres = (groups[np.arange(1200) % 25] + rng.normal(size=(1200, 64))).astype(np.float32)  # 48 in a group: more than a graph of 16 links leaves
+    x = (groups[rng.integers(0, 25, 300)] + rng.normal(size=(300, 64))).astype(np.float32)
+    found = ann.Centroids(centres)
+    true = ((x[:, None].astype(float) - centres) ** 2).sum(2)
+    for ratio in (1.001, 1.1, 1.3):
+        i, c, d = found.within(x, ratio)
+        want = set(zip(*(a.tolist() for a in np.nonzero(true <= true.min(1, keepdims=True) * (ratio - 1e-4) ** 2))))
+        assert want <= set(zip(i.tolist(), c.tolist())) and np.allclose(d**2, true[i, c], rtol=1e-3)
+        assert (d <= (ratio + 1e-4) * np.sqrt(true.min(1))[i]).all() and len({*i.tolist()}) == len(x)
