@@ -61,6 +61,14 @@ class Centroids:
         return i[keep], c[keep]
 
 
+def once(ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of ``d`` that repeat an id made one, at its nearest; ids in order where any was repeated."""
+    order = np.argsort(ids, kind="stable")
+    own = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else order
+    return (ids, d) if len(first) == len(ids) else (own[first], np.minimum.reduceat(d[:, order], first, axis=1))
+
+
 def best(ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest of each row of ``d``, by distance, of equals by id."""
     k = min(k, d.shape[1])
@@ -85,30 +93,33 @@ def _cut(ids: np.ndarray, d: np.ndarray, edge: np.ndarray, k: int) -> np.ndarray
 
 
 def _exact(rows: DataFrame, queries: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-    """The vectors of the k nearest neighbours of a few queries in the whole table, by one pass: (queries, k, dims), NaN where there are fewer."""
+    """The vectors of the k nearest neighbours, of different ids, of a few queries in the whole table, by one pass: (queries, k, dims), NaN where there are fewer."""
     shared = rows.sparkSession.sparkContext.broadcast((queries, own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, mine = shared.value
         top = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, q.shape[1]), np.float32))] * len(q)
+        worst = np.full(len(q), np.inf)  # of k, once there are so many
         for b in batches:
-            ids, x = b.column(0).to_numpy(), matrix(b.column(1))
-            if not len(ids):
-                continue
-            d = distances(q, x)
-            d[mine[:, None] == ids] = np.inf
-            near = np.argpartition(d, min(k, len(ids)) - 1, 1)[:, :k]
-            for i in range(len(q)):
-                dd, nn, xx = (np.concatenate(p) for p in zip(top[i], (d[i, near[i]], ids[near[i]], x[near[i]])))
-                o = np.lexsort((nn, dd))[:k]
-                top[i] = dd[o], nn[o], xx[o]
+            for lo in range(0, b.num_rows, 2048):
+                ids, x = b.column(0).slice(lo, 2048).to_numpy(), matrix(b.column(1).slice(lo, 2048))
+                d = distances(q, x)
+                d[mine[:, None] == ids] = np.inf
+                for i in np.flatnonzero(d.min(1) <= worst):
+                    near = np.flatnonzero((d[i] <= worst[i]) & (d[i] < np.inf))
+                    dd, nn, xx = (np.concatenate(p) for p in zip(top[i], (d[i, near], ids[near], x[near])))
+                    o = np.lexsort((nn, dd))
+                    o = o[np.sort(np.unique(nn[o], return_index=True)[1])[:k]]
+                    top[i] = dd[o], nn[o], xx[o]
+                    if len(o) == k:
+                        worst[i] = dd[o[-1]]
         for i, (dd, nn, xx) in enumerate(top):
-            ok = np.isfinite(dd)
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(ok.sum(), i)), pa.array(dd[ok].astype(float)), pa.array(nn[ok]), lists(xx[ok])], names=["q", "d", "id", "vec"])
+            if len(dd):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(dd), i)), pa.array(dd.astype(float)), pa.array(nn), lists(xx)], names=["q", "d", "id", "vec"])
 
     found = rows.mapInArrow(run, "q bigint, d double, id bigint, vec array<float>")
-    lows = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "vec"))), 1, k).alias("x")).collect()  # probes * k rows
+    found = found.groupBy("q", "id").agg(F.min(F.struct("d", "vec")).alias("x")).select("q", F.struct("x.d", "id", "x.vec").alias("x"))
+    lows = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k).alias("x")).collect()  # probes * k rows
     out = np.full((len(queries), k, queries.shape[1]), np.nan, np.float32)
     for r in lows:
         for j, x in enumerate(r.x):
@@ -145,22 +156,21 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
     spark = df.sparkSession
     ship(spark)
     src, d = usable(df, id_col, vector_col)
-    rows = Stored(src).df
+    rows = Stored(src.distinct()).df
     n = rows.count()
     centroids = Centroids(kmeans(rows.select("vec"), max(d, 1), 1, max(1, math.ceil(math.sqrt(n) / 4)), ROUNDS, balance=0.2)[0] if n else np.zeros((0, 1), np.float32))
     ratio = ratio_for(rows, centroids, k, recall, probes)
     shared = spark.sparkContext.broadcast(centroids)  # grows with the square root of the table
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(shared.value.centres), np.int64)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                n += np.bincount(shared.value.filed(matrix(b.column(0).slice(lo, 512)))[1], minlength=len(n))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["c", "n"])
+                i, c = shared.value.filed(matrix(b.column(1).slice(lo, 512)))
+                yield pa.RecordBatch.from_arrays([pa.array(c), b.column(0).slice(lo, 512).take(pa.array(i))], names=["c", "id"])
 
-    sizes = np.zeros(len(centroids.centres), np.int64)
-    for r in rows.select("vec").mapInArrow(counted, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect():
-        sizes[r.c] = r.n  # a number for each list
+    sizes = np.zeros(len(centroids.centres), np.int64)  # different ids of each list
+    for r in rows.mapInArrow(counted, "c bigint, id bigint").distinct().groupBy("c").count().collect():
+        sizes[r.c] = r["count"]  # a number for each list
 
     enough = 8 * (k + 1)
 
@@ -171,10 +181,13 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
                 x, ids = matrix(b.column(1).slice(lo, 512)), b.column(0).slice(lo, 512)
                 i, c = g.filed(x)
                 qi, qc, _ = g.within(x, ratio)
-                few = np.flatnonzero(np.bincount(qi, sizes[qc], len(x)) < min(enough, sizes.sum()))
-                if len(few):  # lists too short for k: the nearest ones that hold enough
+                most = np.zeros(len(x), np.int64)
+                np.maximum.at(most, qi, sizes[qc])
+                few = np.flatnonzero((np.bincount(qi, sizes[qc], len(x)) < min(enough, sizes.sum())) | (most <= k))
+                if len(few):  # lists too short for k: the nearest ones up to those that hold enough, of which one has k others itself, or all
                     near = g.far(x[few]).argsort(1, kind="stable")
-                    more = np.cumsum(sizes[near], 1) - sizes[near] < enough
+                    before = np.concatenate([np.zeros((len(few), 1), np.int64), np.maximum.accumulate(sizes[near], 1)[:, :-1]], 1)
+                    more = (np.cumsum(sizes[near], 1) - sizes[near] < enough) | (before <= k)
                     rest = ~np.isin(qi, few)
                     qi, qc = np.concatenate([qi[rest], np.repeat(few, more.sum(1))]), np.concatenate([qc[rest], near[more]])
                 at = np.concatenate([i, qi])
@@ -197,7 +210,7 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
                     q = names[s : min(hi, s + 512)]
                     far = distances(x[s : s + len(q)], own)
                     far[q[:, None] == ids] = np.inf
-                    near, far = best(ids, far, k)
+                    near, far = best(*once(ids, far), k)
                     m = near.shape[1]
                     ends = pa.array(np.arange(len(q) + 1, dtype=np.int32) * m)
                     yield pa.RecordBatch.from_arrays(

@@ -74,3 +74,19 @@ def test_every_centroid_in_reach_is_found():
         want = set(zip(*(a.tolist() for a in np.nonzero(true <= true.min(1, keepdims=True) * (ratio - 1e-4) ** 2))))
         assert want <= set(zip(i.tolist(), c.tolist())) and np.allclose(d**2, true[i, c], rtol=1e-3)
         assert (d <= (ratio + 1e-4) * np.sqrt(true.min(1))[i]).all() and len({*i.tolist()}) == len(x)
+
+
+def test_an_id_repeated_more_than_k_times_takes_one_place(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    crowd = [(1000, (x[7] + 1e-3 * rng.normal(size=8)).tolist()) for _ in range(120)]  # one id, unlike vectors
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1001, x[7].tolist())] * 30 + crowd
+    found = {}
+    for r in ann.nearest_neighbours(frame(spark, rows)).collect():
+        found.setdefault(r.vec_id, []).append(r.neighbour_id)
+    assert len(found) == 302 and all(len(f) == len(set(f)) == 10 for f in found.values())
+    d = ann.distances(x.astype(float), x.astype(float))
+    np.fill_diagonal(d, np.inf)
+    assert {1000, 1001} < set(found[7])
+    others = [set(found[i]) - {1000, 1001} for i in range(300)]
+    assert np.mean([len(o & set(np.argsort(d[i])[: len(o)].tolist())) / len(o) for i, o in enumerate(others)]) >= 0.9
