@@ -4,9 +4,11 @@ Vectors are scaled to length 1 and cut in halves; each half has a codebook of it
 table, and the pairs of codewords are the grid's cells. The codebooks grow with the square root of the table, so
 cells stay small. A vector visits cells in the order of a bound on how far its near-duplicates must have strayed
 to lie there (the multi-sequence order: the next cell is always a neighbour in rank of one visited), and stops
-where the target recall is met: a near-duplicate differs by at most r = sqrt(2 - 2 * threshold), in a direction
-that is as likely as any other, so that its part along the two lines that a cell's bound measures is about
-Rayleigh-distributed with scale r / sqrt(dimensions). Of two cells only one side visits the other. What meets in a
+where the target recall is met: a near-duplicate differs by at most r = sqrt(2 - 2 * threshold), and the share of r
+that falls on the two lines that a cell's bound measures, from codeword to codeword, is taken from the data: the
+largest of what falls there of the variance of all rows, of the variance of what their codewords leave of them, and
+of noise in all dimensions alike. In these scales the stray is about Rayleigh-distributed. Cells beyond r itself
+can't hold any and are left out. Of two cells only one side visits the other. What meets in a
 cell is verified by its cosine.
 """
 
@@ -38,6 +40,50 @@ def margins(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, out.clip(0)
 
 
+def shares(rows: DataFrame, books: np.ndarray) -> np.ndarray:
+    """(2, k, k): the largest share of the squared length of differences that may fall on the line between two codewords.
+
+    From second moments of all rows; only their sums, four matrices of half the dimensions, reach the driver.
+    """
+    k, width = books.shape[1:]
+    names = [f"s{j}" for j in range(width)]
+    shared = rows.sparkSession.sparkContext.broadcast(books)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, width + 1, width))
+        n = 0
+        for b in batches:
+            x = matrix(b.column(0))
+            n += len(x)
+            for h in range(2 if len(x) else 0):
+                mine = x[:, h * width : (h + 1) * width].astype(float)
+                rest = mine - shared.value[h][nearest(mine.astype(np.float32), shared.value[h])]
+                for m, y in ((h, mine), (2 + h, rest)):
+                    total[m, :width] += y.T @ y
+                    total[m, width] += y.sum(0)
+        flat = total.reshape(-1, width)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(np.full(len(flat), n)), *(pa.array(flat[:, j].copy()) for j in range(width))], names=["i", "n", *names])
+
+    got = rows.mapInArrow(moments, "i bigint, n bigint, " + ", ".join(f"{s} double" for s in names)).groupBy("i").agg(*(F.sum(s).alias(s) for s in ["n", *names])).collect()
+    out = np.full((2, k, k), 1 / max(2 * width, 1))
+    if not got or not got[0].n:
+        return out
+    total = np.zeros((4 * (width + 1), width))
+    for r in got:
+        total[r.i] = r[2:]
+    total = total.reshape(4, width + 1, width) / got[0].n
+    spread = total[:, :width] - total[:, width, :, None] * total[:, width, None, :]
+    for two in (spread[:2], spread[2:]):
+        whole = np.trace(two[0]) + np.trace(two[1])
+        for h in range(2 if whole > 1e-12 else 0):
+            book, on = books[h].astype(float), books[h].astype(float) @ two[h]
+            own = (on * book).sum(1)
+            line = own[:, None] + own - 2 * (on @ book.T)
+            apart = ((book * book).sum(1)[:, None] + (book * book).sum(1) - 2 * (book @ book.T)).clip(1e-12)
+            out[h] = np.maximum(out[h], line / apart / whole)
+    return out.clip(max=1)
+
+
 def cells_in_order(a: np.ndarray, b: np.ndarray, most: float) -> list[tuple[int, int]]:
     """Pairs of codewords with a[i]**2 + b[j]**2 up to ``most``, the least sums first, by multi-sequence traversal."""
     ia, ib = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
@@ -80,22 +126,24 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     one = Stored(same)
     n = one.df.count()
     books = kmeans(one.df.select("vec"), max(d, 2), 2, max(1, math.ceil(math.sqrt(n) / 4)), ROUNDS)
-    shared = spark.sparkContext.broadcast(books)
+    shared = spark.sparkContext.broadcast((books, np.sqrt(shares(one.df.select("vec"), books))))
     k = books.shape[1]
-    most = (2 - 2 * threshold) / max(d, 1) * -2 * math.log(max(1 - recall, 1e-12))
+    sure = (2 - 2 * threshold) * 1.001 + 1e-6
+    most = (2 - 2 * threshold) * -2 * math.log(max(1 - recall, 1e-12))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = shared.value
+        (first, second), scale = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 x = matrix(b.column(1).slice(lo, 1024))
                 half = x.shape[1] // 2
                 (own1, m1), (own2, m2) = margins(x[:, :half], first), margins(x[:, half:], second)
+                s1, s2 = m1 / scale[0][own1], m2 / scale[1][own2]
                 at, cell, guest = [], [], []
                 for i in range(len(x)):
                     home = int(own1[i]) * k + int(own2[i])
-                    for c1, c2 in cells_in_order(m1[i], m2[i], most):
-                        if (c := c1 * k + c2) >= home:
+                    for c1, c2 in cells_in_order(s1[i], s2[i], most):
+                        if (c := c1 * k + c2) >= home and m1[i, c1] ** 2 + m2[i, c2] ** 2 <= sure:
                             at.append(i)
                             cell.append(c)
                             guest.append(c != home)

@@ -90,3 +90,15 @@ def test_an_id_repeated_more_than_k_times_takes_one_place(spark):
     assert {1000, 1001} < set(found[7])
     others = [set(found[i]) - {1000, 1001} for i in range(300)]
     assert np.mean([len(o & set(np.argsort(d[i])[: len(o)].tolist())) / len(o) for i, o in enumerate(others)]) >= 0.9
+
+
+def test_near_duplicates_in_few_of_many_dimensions(spark):
+    rng = np.random.default_rng(7)
+    n, d, rank = 6000, 384, 12
+    base = rng.normal(size=(n, rank))
+    x = (np.concatenate([base, base + 0.25 * rng.normal(size=(n, rank))]) @ rng.normal(size=(rank, d))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: r.duplicate_of for r in multiindex.near_duplicate_vectors(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T >= multiindex.THRESHOLD, 1))
+    assert len(i) > 1000 and np.mean([got.get(a, a) == got.get(b, b) for a, b in zip(i.tolist(), j.tolist())]) >= multiindex.RECALL
