@@ -36,8 +36,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(bin_id, position, doc_id, piece, start_word, n_words, text): the sequences' pieces in their order."""
-    return packed_texts(docs)
+    """(bin_id, position, doc_id, piece, start_word, n_words, text): the sequences' pieces in their order; null and repeated ids have their own texts."""
+    return packed_texts(docs, by_text=True)
 
 
 STAGES = [

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ from tabweave.llm.text import slices, utf8, words
 from tabweave.session import Stored, ship
 
 CAPACITY, GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 1024, 3, 3, 16, 6
-PLAN = "bin_id bigint, position int, doc_id bigint, piece int, start_word bigint, n_words int"
+PLAN = "bin_id bigint, position int, doc_id bigint, piece int, start_word bigint, n_words int, key bigint"
 SHIFT = 24
 
 Bins = list[list[int]]
@@ -146,16 +146,17 @@ def _epoch(rows: DataFrame, capacity: int, generations: int, population: int, ep
     return rows.select("g", "island", "sizes", "people", "guest").mapInArrow(run, "g bigint, island int, sizes array<int>, people array<binary>, fit double")
 
 
-def word_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n): words of each text."""
+def word_counts(df: DataFrame, id_col: str, text_col: str, key: Column | None = None) -> DataFrame:
+    """(id, n, key): words of each text, and its row's ``key`` (null without one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in slices(b.column(1)):
                 at = words(*utf8(b.column(1).slice(lo, hi - lo)))[2]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(at))], names=["id", "n"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), b.column(2).slice(lo, hi - lo)], names=["id", "n", "key"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, n bigint")
+    key = F.lit(None) if key is None else key
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), key.cast("bigint").alias("key")).mapInArrow(run, "id bigint, n bigint, key bigint")
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, seed: int = 0) -> DataFrame:
@@ -165,10 +166,16 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     repeat an id are packed each by itself, and null ids are packed as they are. Ties in size keep the order of
     ids. Long texts are split as described above. Empty table: no rows. Other columns are not read.
     """
+    return _plan(df, id_col, text_col, None, capacity, group, islands, epochs, generations, population, seed).drop("key")
+
+
+def _plan(df: DataFrame, id_col: str, text_col: str, key: Column | None, capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, seed: int = 0) -> DataFrame:
+    """The rows of :func:`pack` with the ``key`` of the row each piece is of; null ids with keys are dealt to groups by those."""
     ship(df.sparkSession)
-    counted = Stored(word_counts(df, id_col, text_col).where("n > 0"))
+    counted = Stored(word_counts(df, id_col, text_col, key).where("n > 0"))
     groups = max(1, -(-counted.df.count() // group))
-    one = counted.df.groupBy(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g")).agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("docs"))
+    dealt_by = F.xxhash64("id") if key is None else F.when(F.col("id").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("id"))
+    one = counted.df.groupBy(F.pmod(dealt_by, F.lit(groups)).alias("g")).agg(F.array_sort(F.collect_list(F.struct("id", "n", "key"))).alias("docs"))
     one = one.withColumn("sizes", F.transform(F.filter("docs", lambda d: d["n"] % capacity > 0), lambda d: (d["n"] % capacity).cast("int")))
     dealt = Stored(one)
     rows = dealt.df.select("g", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "sizes", F.lit(None).cast("array<binary>").alias("people"), F.lit(None).cast("binary").alias("guest"))
@@ -194,32 +201,47 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
                 for d, at in zip(docs, rest):
                     full = d["n"] // capacity
                     for k in range(full):
-                        out.append(((g << SHIFT) + bins, 0, d["id"], k, k * capacity, capacity))
+                        out.append(((g << SHIFT) + bins, 0, d["id"], k, k * capacity, capacity, d["key"]))
                         bins += 1
                     if at >= 0:
                         filled[at] = filled.get(at, -1) + 1
-                        out.append(((g << SHIFT) + at, filled[at], d["id"], full, full * capacity, d["n"] % capacity))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+                        out.append(((g << SHIFT) + at, filled[at], d["id"], full, full * capacity, d["n"] % capacity, d["key"]))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
                 for lo in range(0, len(out), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 100_000]), kinds)], names=["bin_id", "position", "doc_id", "piece", "start_word", "n_words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 100_000]), kinds)], names=["bin_id", "position", "doc_id", "piece", "start_word", "n_words", "key"])
 
     return dealt.df.select("g", "docs").join(best, "g", "left").mapInArrow(plan, PLAN).withColumnRenamed("doc_id", id_col)
 
 
-def packed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def packed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False, **options) -> DataFrame:
     """The plan of :func:`pack` with the ``text`` of each piece, as it stands in the document.
 
-    Texts are looked up by id, so ids with different texts, which would mix them up, are not allowed here.
+    Texts are looked up by id, so ids with different texts, which would mix them up, are not allowed here, unless
+    ``by_text``: then they are looked up by id and a hash of the text, so that each row, of a null or repeated id
+    too, is packed with its own text.
     """
-    plan = pack(df, id_col, text_col, **options)
     docs = df.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text")).where("__text is not null and __text != ''")
+    if by_text:
+        plan = _plan(df, id_col, text_col, F.xxhash64(text_col), **options)
+        docs = docs.withColumn("__key", F.xxhash64("__text"))
+        twice = Stored(docs.groupBy("__id", "__key").count().where("count > 1"))
+        if not twice.df.isEmpty():
+            docs = docs.dropDuplicates(["__id", "__key"])
+        twice.drop()
+        both = plan.join(docs, plan[id_col].eqNullSafe(docs["__id"]) & (plan["key"] == docs["__key"])).drop("__id", "__key", "key")
+        return _with_texts(both, plan.drop("key"))
+    plan = pack(df, id_col, text_col, **options)
     twice = Stored(docs.groupBy("__id").agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64("__text")).alias("m")).where("n > 1"))
     if not twice.df.where("m > 1").isEmpty():
         raise ValueError(f"{id_col} has different texts under one id")
     if not twice.df.isEmpty():
         docs = docs.dropDuplicates(["__id"])
     twice.drop()
-    both = plan.join(docs, plan[id_col].eqNullSafe(docs["__id"])).drop("__id")
+    return _with_texts(plan.join(docs, plan[id_col].eqNullSafe(docs["__id"])).drop("__id"), plan)
+
+
+def _with_texts(both: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan's rows, each with the part of its document's text, the last column of ``both``, that it places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -164,3 +164,17 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert {i: w for i, w in pieces.items() if i is not None} == got
     assert key(cp.run(spark, sf).select("doc_id", "start_word", "text")) == key(packed.select("doc_id", "start_word", "text"))
 
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_pipeline_keeps_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    small, sf = "/root/testdata/sf0.001", str(tmp_path)
+    spark.read.parquet(f"{small}/labels.parquet").write.parquet(f"{sf}/labels.parquet")
+    source = spark.read.parquet(f"{small}/documents.parquet")
+    texts = ["A null id keeps its text, as any other does.", "Another document has no id either, and a text of its own.", "This is one text under an id that stands twice.", "And here is the other, which shares no line with the first."]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in zip([None, None, 10**6, 10**6], texts)], source.schema)
+    source.unionByName(odd).write.parquet(f"{sf}/documents.parquet")
+    got = [(r.doc_id, r.text) for r in cp.run(spark, sf).where(f"doc_id is null or doc_id = {10**6}").collect()]
+    assert sorted(got, key=str) == sorted(zip([None, None, 10**6, 10**6], texts), key=str)
