@@ -1,7 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a tree with HTML's usual forgiveness: void elements, end tags left out, stray ones. Scripts,
-styles, navigation, headers, footers, forms and what is named like advertisement or boilerplate don't count. Each
+styles, navigation, headers, footers, form controls and what is named like advertisement or boilerplate don't count.
+A form is a container like others if it holds a paragraph that scores; else it doesn't count, unless the page has no
+other text. Each
 block with text of its own is a paragraph; if it is long enough it passes points to its ancestors, for itself, its
 commas and its length, whole to the parent, half to the grandparent, and less above. A container's own kind and
 names add or take some, and the sum is discounted by the share of its text that stands in links. The best
@@ -24,9 +26,10 @@ from tabweave.session import ship
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|object|textarea|select)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>?|</([a-z][^\s>/]*+)[^>]*+>|<([a-z][^\s>/]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I)
+CAPTIONS = frozenset("label legend option optgroup output".split())  # of controls, in forms
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-JUNK = frozenset("nav aside footer header form button menu dialog figure head".split())
+JUNK = frozenset("nav aside footer header button menu dialog figure head".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "body": ("head",)}
 SCOPE = frozenset("table td th ul ol dl body html article section main div".split())
@@ -106,6 +109,26 @@ class Page:
                 self._pop(stack, open_, k)
 
 
+def without_forms(page: Page, block: list[int], link: list[bool]) -> list[bool]:
+    """What doesn't count, with the captions of controls and the forms without a paragraph that scores, or without the forms if nothing would be left."""
+    n = len(page.tag)
+    form, junk = [0] * n, list(page.junk)  # the form around each
+    for i in range(1, n):
+        form[i] = i if page.tag[i] == "form" else form[page.parent[i]]
+        junk[i] = junk[i] or junk[page.parent[i]] or bool(form[i] and page.tag[i] in CAPTIONS)
+    prose: dict[int, int] = {}
+    for i, text in page.pieces:
+        if not junk[i] and not link[i]:
+            prose[block[i]] = prose.get(block[i], 0) + len(text.strip())
+    alive = {0}
+    for b, size in prose.items():
+        while size >= LEAST and (b := form[b]) not in alive:
+            alive.add(b)
+            b = page.parent[b]
+    out = [junk[i] or form[i] not in alive for i in range(n)]
+    return out if any(not out[i] and text.strip() for i, text in page.pieces) else page.junk
+
+
 def extract(source: str | None) -> tuple[str, str, int, float] | None:
     """(title, text, paragraphs, score of the best container) of a page."""
     if source is None:
@@ -117,6 +140,8 @@ def extract(source: str | None) -> tuple[str, str, int, float] | None:
     for i in range(1, n):
         block[i] = block[parent[i]] if tag[i] in INLINE else i
         link[i] = tag[i] == "a" or (link[parent[i]] and tag[i] in INLINE)
+    if "form" in tag:
+        junk = without_forms(page, block, link)
     own: dict[int, list[str]] = {}
     length, linked = [0] * n, [0] * n
     for i, text in page.pieces:

@@ -109,3 +109,11 @@ def test_html_keeps_prose_of_the_test_pages(spark):
     got = html.extract_pages(spark.read.parquet(f"{SF}/pages.parquet")).collect()
     assert sum(bool(r.text) for r in got) >= 0.9 * len(got)
     assert not any("track(" in r.text or "<" in r.text and "</p>" in r.text for r in got)
+
+
+def test_html_in_a_form():
+    body = PAGE[PAGE.index("<nav>") : PAGE.index("</body>")]
+    form = '<form id="aspnetForm" method="post"><label>A label of a control, long enough to score</label><input name=q><button>Go</button>'
+    assert html.extract(PAGE.replace(body, form + body + "</form>"))[1:3] == html.extract(PAGE)[1:3]
+    assert html.extract(PAGE.replace("<p>Second", "<form><p>Search</p><button>Go</button></form><p>Second"))[1] == html.extract(PAGE)[1]
+    assert html.extract("<form><p>short</p><button>Go</button></form>")[1] == "short"
