@@ -28,6 +28,7 @@ from tabweave.llm.text import slices
 from tabweave.session import Stored, hadoop_path, shared_dir, ship
 
 VOCABULARY, LEXICON, LONGEST = "/opt/tokenizers/byte_bpe_50k.tiktoken", 65_536, 64
+IDS = 1 << 19  # token ids that one pass decodes
 EXACT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: The same where no character is a number but no digit, or white space in one of the two modules alone.
 FAST = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -226,6 +227,37 @@ class Encoder:
         return [b"".join(map(get, s)) for s in split]
 
 
+class Decoder:
+    """Texts of token ids, many rows at a time: the bytes of all ids are gathered by one index."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by = {i: b for b, i in ranks.items()}
+        self.size = np.array([len(by.get(i, b"")) for i in range(max(by, default=-1) + 1)], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(by.get(i, b"") for i in range(len(self.size))), np.uint8)
+
+    def sizes(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of each id."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size)):
+            raise KeyError("an id is outside the vocabulary")
+        size = self.size[ids]
+        if len(size) and not size.all():
+            raise KeyError("an id is outside the vocabulary")
+        return size
+
+    def __call__(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Texts of the rows that begin and end at ``offsets`` of ``ids``."""
+        size = self.sizes(ids)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.start[ids] - ends[:-1], size)
+        at += np.arange(len(at))
+        raw = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(ends[offsets]), pa.py_buffer(self.flat[at])])
+        try:
+            return raw.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # some are no UTF-8
+            return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
+
 def frequent(df: DataFrame, text_col: str, size: int = LEXICON) -> list[str]:
     """The most frequent pre-tokens of all texts, sorted: as many counts, from the largest on, as have ``size`` words at most.
 
@@ -316,22 +348,32 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, text): the texts of token ids; bytes that are no UTF-8 become replacement characters.
+def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, text): the texts of token ids beside the columns to ``keep``; bytes that are no UTF-8 become replacement characters.
 
-    Null ids give a null text, no ids an empty one; an id outside the vocabulary is an error.
+    Null ids give a null text, no ids an empty one; an id outside the vocabulary, or null, is an error.
     """
     ship(df.sparkSession)
-    ranks = load_ranks(vocabulary)
-    table = df.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
+    shared = df.sparkSession.sparkContext.broadcast(Decoder(load_ranks(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = table.value.__getitem__
+        decoder = shared.value
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                texts = [None if x is None else b"".join(map(get, x)).decode("utf-8", "replace") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["id", "text"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+            size = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy().astype(np.int64)
+            cum, lo = np.cumsum(size), 0
+            while lo < len(size):  # slices of IDS ids, of one row at least
+                hi = max(lo + 1, int(np.searchsorted(cum, (cum[lo - 1] if lo else 0) + IDS, "right")))
+                part = b.slice(lo, hi - lo)
+                ids = part.column(1).flatten()
+                if ids.null_count:
+                    raise KeyError("an id is null")
+                texts = decoder(ids.to_numpy(), np.concatenate([[0], np.cumsum(size[lo:hi])]))
+                none = part.column(1).is_null()
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pc.if_else(none, None, texts) if part.column(1).null_count else texts], names=["id", *names, "text"])
+                lo = hi
+
+    names = [f"k{j}" for j in range(len(keep))]
+    kind = "".join(f", {n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, keep))
+    rows = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"), *(F.col(c).alias(n) for n, c in zip(names, keep)))
+    out = rows.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}{kind}, text string")
+    return out.select(F.col("id").alias(id_col), *(F.col(n).alias(c) for n, c in zip(names, keep)), "text")

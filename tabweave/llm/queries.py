@@ -68,10 +68,10 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    from tabweave.llm.bpe import encode
+    """Token ids of every document, and the text that they decode to."""
+    from tabweave.llm.bpe import decode, encode
 
-    return encode(_table(spark, sf_dir, "documents"))
+    return decode(encode(_table(spark, sf_dir, "documents")), keep=("n_tokens", "ids"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,3 +117,22 @@ def test_html_in_a_form():
     assert html.extract(PAGE.replace(body, form + body + "</form>"))[1:3] == html.extract(PAGE)[1:3]
     assert html.extract(PAGE.replace("<p>Second", "<form><p>Search</p><button>Go</button></form><p>Second"))[1] == html.extract(PAGE)[1]
     assert html.extract("<form><p>short</p><button>Go</button></form>")[1] == "short"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF) or not os.path.isdir("/opt/tokenizers"), reason="needs the test tables")
+def test_bpe_query_decodes_every_document(spark):
+    from tabweave.llm.queries import op9_bpe
+
+    want = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    got = op9_bpe(spark, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == want and all(len(r.ids) == r.n_tokens for r in got)
+
+
+@needs
+def test_decoder():
+    d = bpe.Decoder(bpe.load_ranks())
+    ids, cut = bpe.merge("é".encode(), {bytes([k]): bpe.load_ranks()[bytes([k])] for k in range(256)}), bpe.np.array([0, 1, 1, 2])
+    assert d(bpe.np.array(ids), cut).to_pylist() == ["\ufffd", "", "\ufffd"] and d(bpe.np.array(ids), bpe.np.array([0, 2])).to_pylist() == ["é"]
+    for bad in (-1, len(d.size)):
+        with pytest.raises(KeyError):
+            d(bpe.np.array([bad]), bpe.np.array([0, 1]))
