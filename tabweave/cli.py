@@ -22,7 +22,7 @@ from tabweave.operators.dedupe import settled_names
 from tabweave.plans.merging import merge_directories
 from tabweave.plans.settings import MergeSettings
 from tabweave.session import ship, store
-from tabweave.sources import documents, sinks, tables
+from tabweave.sources import documents, sinks, storage, tables
 
 TEXTS = ("column_aliases", "column_names_hints", "paper_aliases", "schema")
 CHOICES = {"agreement_method": ("simple-count", "distinct-readers"), "hints_column_alignment": ("safe", "unsafe"), "transform_tablesfile": ("explode", "safe-compact", "unsafe-compact"), "semantic_language": ("en", "es")}
@@ -127,12 +127,12 @@ def validation(argv: Sequence[str]) -> int:
     p.add_argument("-a", "--all", action="store_true")
     args = p.parse_args(argv)
     paths = [x for x in args.paths if Path(x).name != tables.METADATA and not Path(x).name.startswith("settings.")]
-    there = [x for x in paths if Path(x).exists()]
+    there = [x for x in paths if storage.exists(x)]
     spark = session()
     bad = {x: ("not found", []) for x in paths if x not in there}
     if there:
-        files = spark.read.option("wholetext", True).text([str(Path(x).resolve()) for x in there]).select(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")).alias("path"), F.col("value").alias("text"))
-        by = {str(Path(x).resolve()): x for x in there}
+        files = spark.read.text([storage.absolute(x) for x in there], wholetext=True).select(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")).alias("path"), F.col("value").alias("text"))
+        by = {storage.absolute(x): x for x in there}
         bad |= {by[r.path]: (r.error, list(r.problems)) for r in validate.validate_files(files).where("error is not null").collect()}
     for x in paths:
         if x in bad:
@@ -163,7 +163,7 @@ def to_html(argv: Sequence[str]) -> int:
     found = tables.read_resultsets(session(), [args.path])
     meta, settings = tables.read_with_settings(args.path)
     papers = [(r.paper, r.c) for r in found.files.select("paper", C.display(F.col("citation")).alias("c")).orderBy("paper").collect()]
-    Path(args.out).write_text(viewer.build_html(found.fragments, found.rows, papers, meta, settings), encoding="utf-8")
+    storage.write_text(args.out, viewer.build_html(found.fragments, found.rows, papers, meta, settings))
     return 0
 
 
@@ -183,8 +183,7 @@ def extraction(argv: Sequence[str]) -> int:
         if tables.read_resultset_metadata(folder).get("reader", args.reader) != args.reader:
             print("the result set was made by another reader", file=sys.stderr)
             return 2
-        done = {x.name[: -len(tables.SUFFIX)] for x in Path(folder).glob("*" + tables.SUFFIX)}
-        have = spark.createDataFrame([(x,) for x in sorted(done)], "paper string")
+        have = spark.createDataFrame([(x[: -len(tables.SUFFIX)],) for x in storage.names(folder, "*" + tables.SUFFIX)], "paper string")
         files = documents.unread(files.withColumn("paper", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)), have).drop("paper")
     hints = parse_hints(tables.read_path(args.hints_path)) if args.hints_path else []
     mapping = documents.TableMapping.parse(tables.read_path(args.mapping_path)) if args.mapping_path else None

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.functions import batch
 from tabweave.functions import text as X
 
 VALS = "array<struct<value:string,agreement_level:int>>"
@@ -87,4 +88,4 @@ def with_values(df: DataFrame, f: Callable[[X.Form], Callable[[Column], Column]]
 
 def normalized(df: DataFrame, column: str = "cells") -> DataFrame:
     """Rows with normalised values, as merging compares and keeps them."""
-    return with_values(df, lambda form: lambda v: X.normalize_value(v, form), column=column)
+    return df.withColumn(column, batch.mapped(F.col(column), batch.normalize_value))

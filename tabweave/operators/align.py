@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabweave.functions import batch
 from tabweave.functions import cells as C
 from tabweave.functions import text as X
 from tabweave.operators.clean import Embedder, ngram_embedder
@@ -17,59 +18,24 @@ from tabweave.operators.shape import sample_head
 REMOVE = "<remove>"
 
 
-def rename_cells(cells: Column, mapping: Column) -> Column:
-    """Cells renamed by a map (a null name drops the cell); cells that then share a name are joined.
-
-    The one that has the name of its own goes first, the others follow in their order.
-    """
-    target = lambda c: F.when(F.map_contains_key(mapping, c["name"]), F.try_element_at(mapping, c["name"])).otherwise(c["name"])
-    moved = F.filter(F.transform(cells, lambda c: F.struct(target(c).alias("name"), (target(c) == c["name"]).alias("own"), c["kind"].alias("kind"), c["vals"].alias("vals"))), lambda c: c["name"].isNotNull() & (c["name"] != REMOVE))
-    order = F.array_distinct(F.transform(moved, lambda c: c["name"]))
-
-    def join(a: Column, b: Column) -> Column:
-        text = X.append_value(F.try_element_at(a["vals"], F.lit(1))["value"], F.try_element_at(b["vals"], F.lit(1))["value"])
-        one = F.array(F.struct(text.alias("value"), F.lit(None).cast("int").alias("agreement_level")))
-        both_text = (a["kind"] == "str") & (b["kind"] == "str")
-        lists = (a["kind"] == "list") & (b["kind"] == "list")
-        bare = (a["kind"] == "null") | ((a["kind"] == "str") & (F.try_element_at(a["vals"], F.lit(1))["value"] == ""))
-        cell = lambda name, kind, vals: F.struct(name.alias("name"), kind.alias("kind"), vals.cast(C.VALS).alias("vals"))
-        whole = lambda c: cell(a["name"], c["kind"], c["vals"])
-        return F.when(bare, whole(b)).when(both_text, cell(a["name"], F.lit("str"), one)).when(lists, cell(a["name"], F.lit("list"), F.concat(a["vals"], b["vals"]))).otherwise(whole(a))
-
-    def one(name: Column) -> Column:
-        mine = F.filter(moved, lambda c: c["name"] == name)
-        plain = F.transform(F.concat(F.filter(mine, lambda c: c["own"]), F.filter(mine, lambda c: ~c["own"])), lambda c: F.struct(c["name"].alias("name"), c["kind"].alias("kind"), c["vals"].cast(C.VALS).alias("vals")))
-        return F.aggregate(F.slice(plain, F.lit(2), F.greatest(F.size(plain), F.lit(1))), F.element_at(plain, 1), join)
-
-    return F.transform(order, one)
-
-
 def apply_mapping(rows: DataFrame, mapping: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Renames by (by, source, target)."""
+    """Renames by (by, source, target); cells that then share a name are joined, the one that had it first, then in order."""
     maps = mapping.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("source", "target"))).alias("__m"))
-    out = rows.join(maps, list(by), "left") if by else rows.crossJoin(F.broadcast(maps))
-    return out.withColumn("cells", F.when(F.col("__m").isNull(), F.col("cells")).otherwise(rename_cells(F.col("cells"), F.col("__m")))).select(*rows.columns)
+    out = rows.join(maps, list(by), "left") if by else rows.crossJoin(maps)  # without ``by`` the map is one row
+    return out.withColumn("cells", batch.renamed(F.col("cells"), F.col("__m"), REMOVE)).select(*rows.columns)
 
 
 def normalize_column_names(rows: DataFrame) -> DataFrame:
     """Every column under its normalised name."""
-    names = C.names(F.col("cells"))
-    rows_ = rows.withColumn("__a", X.forms_map(names, lambda t: X.to_ascii(X.nfc(t))))
-    new = F.transform(names, lambda n: X.normalize_name(n, X.same, X.by_map(F.col("__a"))))
-    keyed = F.map_from_arrays(F.array_distinct(names), F.transform(F.array_distinct(names), lambda n: X.normalize_name(n, X.same, X.by_map(F.col("__a")))))
-    changed = F.exists(F.arrays_zip(names.alias("a"), new.alias("b")), lambda x: x["a"] != x["b"])
-    return rows_.withColumn("cells", F.when(changed, rename_cells(F.col("cells"), keyed)).otherwise(F.col("cells"))).drop("__a")
+    return rows.withColumn("cells", batch.renamed_by(F.col("cells"), batch.normalize_name))
 
 
 def alias_columns(rows: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
     """Renames by normalised alias; the target <remove> drops the column."""
     if not aliases:
         return rows
-    keyed = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
-    names = F.array_distinct(C.names(F.col("cells")))
-    found = F.filter(names, lambda n: F.map_contains_key(keyed, X.normalize_name(n, X.same, X.same)))
-    m = F.map_from_arrays(found, F.transform(found, lambda n: F.try_element_at(keyed, X.normalize_name(n, X.same, X.same))))
-    return rows.withColumn("cells", F.when(F.size(found) > 0, rename_cells(F.col("cells"), m)).otherwise(F.col("cells")))
+    known = {a: None if t == REMOVE else t for a, t in aliases.items()}
+    return rows.withColumn("cells", batch.renamed_by(F.col("cells"), lambda n: known.get(batch.normalize_name(n), n)))
 
 
 def hints_mapping(rows: DataFrame, by: Sequence[str], hints: Sequence[str], safe: bool = True) -> DataFrame:

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabweave.functions import batch
 from tabweave.functions import cells as C
-from tabweave.functions import text as X
 
 CLASSIC = ("pdfplumber", "camelot", "pymupdf")
 
@@ -37,12 +37,6 @@ def fragment_clusters(df: DataFrame, source: Sequence[str], page: Column, order:
     return df.withColumn("position", (F.row_number().over(Window.partitionBy(*source, "adj_page").orderBy(*order)) - 1).cast("int"))
 
 
-def content_key(df: DataFrame) -> DataFrame:
-    """``content``: names with transliterated normalised values, whatever their order; null, missing and empty differ."""
-    df = df.withColumn("__f", X.forms_map(C.strings(F.col("cells")), X.transliterated))
-    return df.withColumn("content", F.array_sort(C.map_values(F.col("cells"), X.by_map(F.col("__f"))))).drop("__f")
-
-
 def merge_rows(df: DataFrame, cluster: Sequence[str], ordinal: str = "row_", content: str | Sequence[str] = "content", source: str = "source_ord", uuid: str = "uuid", level: str = "agreement_level_", cells: str | None = "cells", method: str = "simple-count", readers: DataFrame | None = None) -> DataFrame:
     """One row for each distinct content of an ordinal: summed levels, sources in order, and the first source's values.
 
@@ -118,8 +112,8 @@ def merge_fragments(files: DataFrame, fragments: DataFrame, rows: DataFrame, met
     full = rows.drop("page").join(placed.select(*source, "fragment_idx", "adj_page", "position", "uuid"), [*source, "fragment_idx"])
     order = Window.partitionBy(*source, "fragment_idx").orderBy("pos")
     full = full.withColumn("row_", (F.row_number().over(order) - 1).cast("int"))
-    merged = merge_rows(content_key(C.normalized(full)), cluster, method=method, readers=readers)
-    merged = merged.where(~C.all_empty(F.col("cells")))
+    full = full.withColumn("__c", batch.compared(F.col("cells"))).where("not __c.empty").withColumn("cells", F.col("__c.cells")).withColumn("content", F.col("__c.content")).drop("__c")
+    merged = merge_rows(full, cluster, method=method, readers=readers)
     out = merged.join(heads, cluster).withColumn("pos", (F.row_number().over(Window.partitionBy(*cluster).orderBy("row_", "first_src")) - 1).cast("int"))
     keep = ["paper", "table_idx", "fragment_idx", "page"]
     return heads.select(*keep), out.select(*keep, "pos", "row_", "agreement_level_", "sources_", "cells")

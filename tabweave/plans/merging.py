@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +23,9 @@ def load(found: ResultSets, s: MergeSettings, vocabulary: DataFrame | None = Non
     rows, fragments, tables = found.rows, found.fragments, found.tables
     hints = parse_hints(s.column_names_hints) if s.column_names_hints else []
     schema = ColumnSchema.parse(s.schema) if s.schema else None
-    if s.fix_reversed_column_values and vocabulary is not None:
+    if s.fix_reversed_column_values:
+        if vocabulary is None:
+            raise ValueError("fix_reversed_column_values needs a vocabulary")
         rows = clean.reverse_values(rows, FRAGMENT, vocabulary)
     if s.filter_title_rows:
         rows = clean.filter_title_rows(rows, FRAGMENT)
@@ -44,7 +44,7 @@ def load(found: ResultSets, s: MergeSettings, vocabulary: DataFrame | None = Non
         tables = fragments.select(*FILE, "table_idx")
     elif s.transform_tablesfile:
         tables, fragments, rows = shape.compact_fragments(tables, fragments, rows, FILE, s.transform_tablesfile == "safe-compact")
-    rows = store(align.normalize_column_names(store(rows)))  # written in between: Catalyst would inline each step's cells into the next ones
+    rows = align.normalize_column_names(rows)
     if s.hints_column_alignment:
         rows = align.apply_mapping(rows, align.hints_mapping(rows, FRAGMENT, hints, s.hints_column_alignment == "safe"), FRAGMENT)
     if s.column_aliases:
@@ -52,8 +52,6 @@ def load(found: ResultSets, s: MergeSettings, vocabulary: DataFrame | None = Non
     if s.column_name_semantic_alignment and schema:
         found_ = align.semantic_mapping(rows, FRAGMENT, schema.names, s.column_alignment_threshold)
         rows = align.apply_mapping(rows, found_.select(*FRAGMENT, "source", "target"), FRAGMENT)
-    if s.hints_column_alignment or s.column_aliases or s.column_name_semantic_alignment:
-        rows = store(rows)
     if s.remove_header_rows:
         rows = clean.filter_header_rows(rows, hints)
     return ResultSets(found.files, tables, fragments, rows)
@@ -99,7 +97,6 @@ def merge_directories(spark: SparkSession, s: MergeSettings, out: str | None = N
     s.check()
     ship(spark)
     if out:
-        Path(out).mkdir(parents=True, exist_ok=True)
         sinks.write_merge_metadata(out, [(p, read_resultset_metadata(p)) for p in s.paths], agreement_method=s.agreement_method)
         s.write(f"{out}/{SETTINGS}")
     if metadata_only:

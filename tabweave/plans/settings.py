@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field, fields
-from pathlib import Path
+
+from tabweave.sources import storage
 
 
 @dataclass
@@ -38,18 +39,18 @@ class MergeSettings:
 
     @classmethod
     def from_dict(cls, data: dict) -> MergeSettings:
-        known = {f.name for f in fields(cls)}
-        return cls(**{k: v for k, v in data.items() if k in known})
+        """Settings of a file; what this version doesn't know is left out."""
+        return cls(**{f.name: data[f.name] for f in fields(cls) if f.name in data})
 
     def to_dict(self) -> dict:
         return asdict(self)
 
     @classmethod
     def read(cls, path: str) -> MergeSettings:
-        return cls.from_dict(json.loads(Path(path).read_text(encoding="utf-8")))
+        return cls.from_dict(json.loads(storage.read_text(path)))
 
     def write(self, path: str) -> None:
-        Path(path).write_text(json.dumps(self.to_dict(), ensure_ascii=False, indent=2), encoding="utf-8")
+        storage.write_text(path, json.dumps(self.to_dict(), ensure_ascii=False, indent=2))
 
     def check(self) -> None:
         """Raises where a flag lacks what it works with."""

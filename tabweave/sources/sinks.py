@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import sys
 import uuid as uuid_
 from collections.abc import Iterator, Mapping, Sequence
 from datetime import datetime, timezone
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabweave.functions import cells as C
 from tabweave.operators.post import ordered_columns
+from tabweave.sources import storage
 from tabweave.sources.tables import METADATA, SUFFIX
 
 
@@ -42,16 +45,12 @@ def _quoted(c):
 
 def write_papers(docs: DataFrame, out: str, pretty: bool = False) -> int:
     """One file for each paper, written where its row is; how many. ``out`` must be a folder that all machines share."""
-    Path(out).mkdir(parents=True, exist_ok=True)
+    storage.make_folder(out)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for paper, doc in zip(b.paper, b.doc):
-                text = json.dumps(json.loads(doc), ensure_ascii=False, indent=2 if pretty else None)
-                target = Path(out) / f"{paper}{SUFFIX}"
-                part = target.with_name(f".{target.name}.{uuid_.uuid4().hex}")
-                part.write_text(text, encoding="utf-8")
-                part.replace(target)  # a task that runs again writes the same
+                storage.write_text(f"{out}/{paper}{SUFFIX}", json.dumps(json.loads(doc), ensure_ascii=False, indent=2 if pretty else None))
             yield pd.DataFrame({"n": [len(b)]})
 
     return docs.select("paper", "doc").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -67,8 +66,7 @@ def write_merge_metadata(out: str, sources: Sequence[tuple[str, Mapping]], setti
 
 
 def write_json(path: str, value, pretty: bool = True) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, ensure_ascii=False, indent=2 if pretty else None), encoding="utf-8")
+    storage.write_text(path, json.dumps(value, ensure_ascii=False, indent=2 if pretty else None))
 
 
 def write_stdout(docs: DataFrame) -> None:
@@ -82,40 +80,51 @@ def write_resultset(docs: DataFrame, out: str, reader: str, resultset: str | Non
     name = resultset or str(uuid_.uuid4())
     folder = f"{out}/{name}"
     write_papers(docs, folder)
-    if not (Path(folder) / METADATA).exists():
+    if not storage.exists(f"{folder}/{METADATA}"):
         write_json(f"{folder}/{METADATA}", {"reader": reader, "uuid": name, "datetime": datetime.now(timezone.utc).isoformat()})
     return folder
 
 
 def flatten(rows: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Rows as a flat table: a column for each name, null where a row has none; list cells are joined."""
-    from tabweave.functions import cells as C
-
     cols = [C.display(C.get(F.col("cells"), n)).alias(n) if n not in by else C.display(C.get(F.col("cells"), n)).alias(f"{n}_") for n in names]
     return rows.select(*by, *cols)
 
 
-def csv_frames(rows: DataFrame) -> Iterator[tuple[str, int, DataFrame]]:
-    """(paper, table, frame) of each table: its fragments' rows under all their columns by first appearance, and ``$page``."""
-    seq = rows.withColumn("pos", F.row_number().over(Window.partitionBy("paper", "table_idx").orderBy("fragment_idx", "pos")))
-    columns = ordered_columns(seq, ["paper", "table_idx"]).groupBy("paper", "table_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("column_pos", "name"))), lambda x: x["name"]).alias("names"))
-    for r in columns.orderBy("paper", "table_idx").toLocalIterator():  # the names of columns; one table at a time
-        table = seq.where((F.col("paper") == r.paper) & (F.col("table_idx") == r.table_idx))
-        yield r.paper, r.table_idx, flatten(table.orderBy("pos").withColumn("$page", F.col("page")), ["$page"], r.names).select(*[F.col(f"`{n}`") for n in r.names], "`$page`")
+def csv_rows(rows: DataFrame) -> DataFrame:
+    """(paper, table_idx, pos, names, vals): each row under all columns of its table, by first appearance, and ``$page``.
+
+    A row's values are strings, empty where it has no such column; list cells are joined.
+    """
+    key = ["paper", "table_idx"]
+    seq = rows.withColumn("pos", F.row_number().over(Window.partitionBy(*key).orderBy("fragment_idx", "pos")))
+    columns = ordered_columns(seq, key).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("column_pos", "name"))), lambda x: x["name"]).alias("names"))
+    one = F.transform("names", lambda n: F.coalesce(C.display(C.get(F.col("cells"), n)), F.lit("")))
+    return seq.join(columns, key).select(*key, "pos", F.concat("names", F.array(F.lit("$page"))).alias("names"), F.concat(one, F.array(F.col("page").cast("string"))).alias("vals"))
 
 
 def write_csv(rows: DataFrame, out: str) -> list[str]:
-    """<paper>_<table>.csv for each table."""
-    Path(out).mkdir(parents=True, exist_ok=True)
-    done = []
-    for paper, k, frame in csv_frames(rows):
-        path = f"{out}/{paper}_{k}.csv"
-        with open(path, "w", encoding="utf-8", newline="") as f:
-            import csv
-
-            w = csv.writer(f)
-            w.writerow(frame.columns)
-            for r in frame.toLocalIterator():
-                w.writerow(["" if v is None else v for v in r])
-        done.append(path)
-    return done
+    """<paper>_<table>.csv for each table, all in one job: a task writes its tables row by row as they come sorted."""
+    storage.make_folder(out)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, text, done = None, io.StringIO(), []
+
+        def end() -> None:
+            if now is not None:
+                path = f"{out}/{now[0]}_{now[1]}.csv"
+                storage.write_text(path, text.getvalue())
+                done.append(path)
+
+        for b in batches:
+            for paper, k, names, vals in zip(b.paper, b.table_idx, b.names, b.vals):
+                if (paper, k) != now:
+                    end()
+                    now, text = (paper, k), io.StringIO()
+                    csv.writer(text).writerow(names)
+                csv.writer(text).writerow(["" if v is None else v for v in vals])
+        end()
+        yield pd.DataFrame({"path": done}, dtype=str)
+
+    sorted_ = csv_rows(rows).repartition("paper", "table_idx").sortWithinPartitions("paper", "table_idx", "pos")
+    return sorted(r.path for r in sorted_.mapInPandas(write, "path string").toLocalIterator())

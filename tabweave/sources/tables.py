@@ -6,13 +6,13 @@ import json
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.functions import cells as C
 from tabweave.functions.names import PaperAlias
+from tabweave.sources import storage
 
 SUFFIX, METADATA, SETTINGS = ".tables.json", "tables.metadata.json", "settings.merge.json"
 RESERVED = ("agreement_level_", "sources_", "row_")
@@ -29,12 +29,12 @@ class ResultSets:
 
 def read_path(path: str | None, inline: str | None = None) -> str | None:
     """A file's text, or else what was given inline."""
-    return Path(path).read_text(encoding="utf-8") if path else inline
+    return storage.read_text(path) if path else inline
 
 
 def read_resultset_metadata(directory: str) -> dict:
-    p = Path(directory) / METADATA
-    return json.loads(p.read_text(encoding="utf-8")) if p.exists() else {}
+    p = f"{directory}/{METADATA}"
+    return json.loads(storage.read_text(p)) if storage.exists(p) else {}
 
 
 def read_with_settings(directory: str) -> tuple[dict, dict]:
@@ -43,9 +43,9 @@ def read_with_settings(directory: str) -> tuple[dict, dict]:
     if "sources" in meta:  # a merged set
         meta.setdefault("agreement_method", "simple-count")
     own = meta.get("settings")
-    for p in [Path(directory) / SETTINGS, *sorted(Path(directory).glob("settings.*.json"))]:
-        if p.exists():
-            return meta, json.loads(p.read_text(encoding="utf-8"))
+    there = storage.names(directory, "settings.*.json")
+    for name in [SETTINGS] * (SETTINGS in there) + there:
+        return meta, json.loads(storage.read_text(f"{directory}/{name}"))
     return meta, own if isinstance(own, dict) else {}
 
 
@@ -55,10 +55,13 @@ def paper_matches(stem: Column, pattern: str) -> Column:
 
 
 def read_texts(spark: SparkSession, directories: Sequence[str], pattern: str | None = None) -> DataFrame:
-    """(source_dir_ord, dir, file, stem, path, text), files of a pattern only, before any is parsed."""
-    dirs = [str(Path(d).resolve()) if "://" not in d else d.rstrip("/") for d in directories]
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*" + SUFFIX).text(dirs)
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+    """(source_dir_ord, dir, file, stem, path, text), files of a pattern only, before any is parsed.
+
+    A folder that is named more than once is a source each time, but its files are read once.
+    """
+    dirs = [storage.absolute(d) for d in directories]
+    text = spark.read.option("pathGlobFilter", "*" + SUFFIX).text(list(dict.fromkeys(dirs)), wholetext=True)
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///" if any(d.startswith("file:") for d in dirs) else "/")
     df = text.select(path.alias("path"), F.col("value").alias("text")).withColumn("file", F.url_decode(F.regexp_extract("path", "([^/]+)$", 1))).withColumn("dir", F.url_decode(F.regexp_replace("path", "/[^/]+$", "")))
     df = df.withColumn("stem", F.regexp_replace("file", re.escape(SUFFIX) + "$", ""))
     if pattern:
@@ -80,7 +83,7 @@ def cell_of(name: Column, v: Column) -> Column:
 def parse(texts: DataFrame, aliases: Mapping[str, PaperAlias] | None = None, strict: bool = True) -> ResultSets:
     """Files of :func:`read_texts` taken apart. ``strict``: a malformed file is an error, else it has no tables."""
     spark = texts.sparkSession
-    readers = [(d, m.get("uuid"), m.get("reader")) for d in [r.dir for r in texts.select("dir").distinct().collect()] for m in [read_resultset_metadata(d) if "://" not in d else {}]]
+    readers = [(d, m.get("uuid"), m.get("reader")) for d in [r.dir for r in texts.select("dir").distinct().collect()] for m in [read_resultset_metadata(d)]]
     meta = spark.createDataFrame(readers, "dir string, set_uuid string, reader string")
     names = spark.createDataFrame([(a, p.canonical, p.offset) for a, p in (aliases or {}).items()], "stem string, canonical string, offset int")
     df = texts.join(F.broadcast(meta), "dir", "left").join(F.broadcast(names), "stem", "left")
@@ -111,6 +114,6 @@ def read_resultsets(spark: SparkSession, directories: Sequence[str], aliases: Ma
 
 def curated_papers(spark: SparkSession, directory: str) -> DataFrame:
     """(paper): outputs that somebody has curated; malformed ones count as not curated."""
-    if not list(Path(directory).glob("*" + SUFFIX)):
+    if not storage.names(directory, "*" + SUFFIX):
         return spark.createDataFrame([], "paper string")
     return read_resultsets(spark, [directory], strict=False).files.where("has_curations").select("paper")

@@ -14,7 +14,7 @@ from tabweave.sources.tables import SUFFIX, ResultSets, parse
 
 def stream_texts(spark: SparkSession, directory: str) -> DataFrame:
     """New table files of a folder, as :func:`tabweave.sources.tables.read_texts` has them."""
-    text = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*" + SUFFIX).text(directory)
+    text = spark.readStream.schema("value string").option("pathGlobFilter", "*" + SUFFIX).text(directory, wholetext=True)
     path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     df = text.select(F.lit(0).alias("source_dir_ord"), F.lit(str(Path(directory).resolve())).alias("dir"), path.alias("path"), F.col("value").alias("text"))
     return df.withColumn("file", F.regexp_extract("path", "([^/]+)$", 1)).withColumn("stem", F.regexp_replace("file", r"\.tables\.json$", "")).select("source_dir_ord", "dir", "file", "stem", "path", "text")

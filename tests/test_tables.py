@@ -16,8 +16,6 @@ from tabweave.sources import documents, sinks, tables
 from tabweave.streaming.ingest import ingest
 
 
-slow = pytest.mark.skipif(not os.environ.get("TABWEAVE_SLOW"), reason="several whole merges: minutes each on a busy machine; set TABWEAVE_SLOW=1")
-
 
 def resultset(folder, files, uuid=None, reader=None):
     folder.mkdir(parents=True, exist_ok=True)
@@ -94,7 +92,6 @@ def test_merge_equals_a_fold(spark):
     assert got == {c: fold(case) for c, case in enumerate(cases) if any(case)}
 
 
-@slow
 def test_cleaning_settings(spark, tmp_path):
     rows = [{"0": "Table 1. Species", "1": ""}, {"0": "Name", "1": "Count"}, {"0": "1. apis", "1": "10"}, {"0": "2. bombus", "1": None}, {"0": "", "1": "no data"}, {"0": "3. vespa", "1": "7.5"}]
     a = resultset(tmp_path / "a", {"p": doc(table(*rows))}, "ua")
@@ -105,7 +102,6 @@ def test_cleaning_settings(spark, tmp_path):
     assert merged(spark, a, schema="other:str", filter_schema_columns=True)["p"]["tables"] == []
 
 
-@slow
 def test_jaccard_across_sources(spark, tmp_path):
     names = [f"species {k}" for k in range(20)]
     a = resultset(tmp_path / "a", {"p": doc(table(*({"name": n, "area": str(k)} for k, n in enumerate(names))))}, "ua")
@@ -181,7 +177,6 @@ def test_malformed_files(spark, tmp_path):
     assert tables.read_resultsets(spark, [a], strict=False).rows.count() == 1
 
 
-@slow
 def test_curated_outputs_stay(spark, tmp_path):
     a = resultset(tmp_path / "a", {"p": doc(table({"x": "1"})), "q": doc(table({"x": "2"}))}, "ua")
     out = tmp_path / "out"
@@ -239,7 +234,6 @@ def test_html_and_csv(spark, tmp_path):
     assert open(path).read().splitlines() == ["x,y,$page", "<b>,,1", "<b>,2,1"]
 
 
-@slow
 def test_command_line(spark, tmp_path, capsys):
     a = resultset(tmp_path / "a", {"p": doc(table({"x": "1"}))}, "ua")
     out = str(tmp_path / "out")
@@ -262,3 +256,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["names", str(n), "-y"]) == 0
     assert sorted((f.name, f.read_text()) for f in n.iterdir()) == [("a_file.pdf", "2"), ("a_file_1.pdf", "1")]
     assert cli.main(["what"]) == 2
+
+
+def test_a_folder_named_again_counts_again(spark, tmp_path):
+    rng = random.Random(8)
+    sets = [[[rng.choice("abc") for _ in range(rng.randint(1, 4))] for _ in range(3)] for _ in range(2)]
+    folders = [resultset(tmp_path / n, {f"p{k}": json.dumps(doc(table(*({"x": v} for v in rows))), indent=2) for k, rows in enumerate(s)}, f"u{n}") for n, s in zip("ab", sets)]
+    for mentions in ([0, 0], [1, 0, 1, 1]):
+        got = merged(spark, *(("file://" if k else "") + folders[k] for k in mentions))
+        for p in range(3):
+            want = fold([sets[k][p] for k in mentions])
+            assert [(r["row_"], r["x"], r["agreement_level_"], r["sources_"]) for r in rows_of(got[f"p{p}"])] == [(m["k"], m["v"], m["n"], list(dict.fromkeys("u" + "ab"[mentions[s]] for s in m["s"]))) for m in want]
