@@ -2,11 +2,14 @@
 
 Documents are dealt by hash into groups of about ``group`` documents; a group is one packing problem, so its cost
 is bounded and groups run side by side. A document of more than ``capacity`` words gives full sequences of its
-own and a rest, which is packed like any other. Each group has ``islands`` populations that evolve apart: best-fit
-solutions to start with, then crossover that injects whole well-filled bins of one parent into the other, removes
-the bins that would hold a document twice, and best-fits the documents this displaces; mutation empties a few of
-the worst bins and best-fits their documents. Between epochs the best solution of each island migrates to the
-next one of its group, through an exchange. The best solution of a group's islands is its plan.
+own and a rest, which is packed like any other. Best fit comes first; a group that it solves (no packing has fewer
+sequences, and at most the share ``slack`` of all room lies outside the emptiest one) is done. Each other group has
+``islands`` populations that evolve apart: crossover injects whole well-filled bins of one parent into the other,
+removes the bins that would hold a document twice, and best-fits the documents this displaces; mutation empties a few
+of the worst bins and best-fits their documents. Between epochs the best solution of each island migrates to the
+next one of its group, through an exchange. The best solution of a group's islands is its plan, but for its emptiest
+sequence: the documents of those of all groups are packed once more among themselves, so that no group keeps a
+half-empty one.
 """
 
 from __future__ import annotations
@@ -17,16 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from tabweave.llm.rows import Rows
 from tabweave.llm.text import slices, utf8, words
 from tabweave.session import Stored, ship
 
-CAPACITY, GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 1024, 3, 3, 16, 6
-PLAN = "bin_id bigint, position int, doc_id bigint, piece int, start_word bigint, n_words int, key bigint"
+CAPACITY, GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION, SLACK = 2048, 1024, 3, 3, 16, 6, 0.0005
 SHIFT = 24
+PIECES = "array<struct<bin_id:bigint,position:int,piece:int,start_word:bigint,n_words:int>>"
 
 Bins = list[list[int]]
 
@@ -109,15 +115,20 @@ def mutate(s: Solution, sizes: list[int], capacity: int, rng: random.Random) ->
     return _refit([list(s.bins[k]) for k in keep], [s.free[k] for k in keep], [i for k in out for i in s.bins[k]], sizes, capacity)
 
 
-def evolve(sizes: list[int], capacity: int, people: list[Solution], generations: int, population: int, rng: random.Random) -> list[Solution]:
-    """The population after some generations, the best first; the best never gets worse."""
-    while len(people) < population:
+def solved(free: list[int], capacity: int, slack: float) -> bool:
+    """Whether no packing has fewer bins and the room outside the emptiest bin is at most the share ``slack`` of all bins."""
+    rest = sum(free) - max(free, default=0)
+    return sum(free) < capacity and rest <= slack * capacity * len(free)
+
+
+def evolve(sizes: list[int], capacity: int, people: list[Solution], generations: int, population: int, rng: random.Random, slack: float = 0.0) -> list[Solution]:
+    """The population after some generations, the best first; the best never gets worse. It ends early once solved."""
+    while len(people) < population and not (people and solved(people[0].free, capacity, slack)):
         people.append(_fresh(sizes, capacity, rng, 0.0 if not people else rng.choice((0.05, 0.3, 1.0))))
     people = sorted(people, key=lambda s: -s.fit)[:population]
-    least = -(-sum(sizes) // capacity)
-    for _ in range(generations):
-        if len(people[0].bins) <= least:
-            break  # no packing has fewer bins
+    for _ in range(generations if len(people) > 1 else 0):
+        if solved(people[0].free, capacity, slack):
+            break
         child = crossover(*(max(rng.sample(people, 2), key=lambda s: s.fit) for _ in range(2)), sizes, capacity, rng)
         if rng.random() < 0.5:
             child = mutate(child, sizes, capacity, rng)
@@ -127,132 +138,162 @@ def evolve(sizes: list[int], capacity: int, people: list[Solution], generations:
     return people
 
 
-def _epoch(rows: DataFrame, capacity: int, generations: int, population: int, epoch: int, seed: int) -> DataFrame:
-    """Rows (g, island, sizes, people, guest) to (g, island, sizes, people, fit); solutions are bin numbers by place."""
+def _epoch(rows: DataFrame, capacity: int, generations: int, population: int, slack: float, epoch: int, seed: int) -> DataFrame:
+    """Rows (g, island, sizes, people, guest) to (g, island, sizes, people, fit, done); solutions are bin numbers by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = [c.to_pylist() for c in b.columns]
-            people_out, fits = [], []
+            people_out, fits, done = [], [], []
             for g, island, sizes, people, guest in zip(*cols):
                 rng = random.Random(f"{seed}:{epoch}:{g}:{island}")
-                start = [from_places(np.frombuffer(x, np.int32), sizes, capacity) for x in [*(people or []), *([guest] if guest else [])]]
-                got = evolve(sizes, capacity, start, generations, population, rng) if sizes else []
+                start = [from_places(np.frombuffer(x, np.int32), sizes, capacity) for x in [*([guest] if guest else []), *(people or [])]]
+                got = evolve(sizes, capacity, start, generations, population, rng, slack)
                 people_out.append([s.places(len(sizes)).tobytes() for s in got])
-                fits.append(got[0].fit if got else 1.0)
+                fits.append(got[0].fit)
+                done.append(solved(got[0].free, capacity, slack))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(people_out, pa.list_(pa.binary())), pa.array(fits, pa.float64())], names=["g", "island", "sizes", "people", "fit"])
+                [b.column(0), b.column(1), b.column(2), pa.array(people_out, pa.list_(pa.binary())), pa.array(fits, pa.float64()), pa.array(done, pa.bool_())],
+                names=["g", "island", "sizes", "people", "fit", "done"])
 
-    return rows.select("g", "island", "sizes", "people", "guest").mapInArrow(run, "g bigint, island int, sizes array<int>, people array<binary>, fit double")
+    return rows.select("g", "island", "sizes", "people", "guest").mapInArrow(run, "g bigint, island int, sizes array<int>, people array<binary>, fit double, done boolean")
 
 
-def word_counts(df: DataFrame, id_col: str, text_col: str, key: Column | None = None) -> DataFrame:
-    """(id, n, key): words of each text, and its row's ``key`` (null without one)."""
+def _best(problems: DataFrame, capacity: int, islands: int, epochs: int, generations: int, population: int, slack: float, seed: int) -> DataFrame:
+    """(g, places) of the best solution of each problem (g, sizes), from islands that send their best one on after each epoch.
+
+    A problem that best fit alone solves has no islands, and one that an island has solved has no more epochs.
+    """
+    first = problems.select("g", F.lit(-1).alias("island"), "sizes", F.lit(None).cast("array<binary>").alias("people"), F.lit(None).cast("binary").alias("guest"))
+    tried = Stored(_epoch(first, capacity, 0, 1, slack, -1, seed))
+    found = [tried.df.select("g", "island", "fit", F.try_element_at("people", F.lit(1)).alias("places"))]
+    open_ = tried.df.where("not done")
+    rows = open_.withColumn("guest", F.try_element_at("people", F.lit(1))).withColumn("people", F.lit(None).cast("array<binary>")).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
+    for k in range(epochs):
+        if rows.isEmpty():
+            break
+        now = Stored(_epoch(rows.repartition("g", "island"), capacity, generations, population, slack, k, seed)).df
+        found.append(now.select("g", "island", "fit", F.try_element_at("people", F.lit(1)).alias("places")))
+        ring = Window.partitionBy("g").orderBy("island")  # a row for each island
+        last = F.last("elite").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        rows = now.withColumn("any", F.bool_or("done").over(Window.partitionBy("g"))).where("not any")
+        rows = rows.withColumn("elite", F.try_element_at("people", F.lit(1))).withColumn("guest", F.coalesce(F.lag("elite").over(ring), last))
+    all_ = found[0]
+    for x in found[1:]:
+        all_ = all_.union(x)
+    return all_.groupBy("g").agg(F.max_by("places", F.struct("fit", -F.col("island"))).alias("places"))
+
+
+def word_counts(df: DataFrame) -> DataFrame:
+    """(f, i, id, n): words of each text of (f, i, id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in slices(b.column(1)):
-                at = words(*utf8(b.column(1).slice(lo, hi - lo)))[2]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), b.column(2).slice(lo, hi - lo)], names=["id", "n", "key"])
+            for lo, hi in slices(b.column(3)):
+                at = words(*utf8(b.column(3).slice(lo, hi - lo)))[2]
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, hi - lo) for k in range(3)), pa.array(np.diff(at))], names=["f", "i", "id", "n"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields[:3], T.StructField("n", T.LongType())]))
 
-    key = F.lit(None) if key is None else key
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), key.cast("bigint").alias("key")).mapInArrow(run, "id bigint, n bigint, key bigint")
 
+def _placed(spark: SparkSession, items: DataFrame, capacity: int, group: int, islands: int, epochs: int, generations: int, population: int, slack: float, seed: int) -> DataFrame:
+    """(f, i, id, pieces) of (f, i, id, n): the pieces of a text and where they are; a text may have two such rows.
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, seed: int = 0) -> DataFrame:
+    The emptiest bin of each group gives its documents back; they are packed again among themselves, in groups, until
+    there is but one group, so that rooms of different groups are filled too.
+    """
+    done, first, now = [], 0, items.withColumn("p", F.lit(0).cast("bigint"))
+    made = T.StructType([*items.schema.fields[:3], T.StructField("rest", T.LongType()), T.StructField("p", T.LongType()), T.StructField("pieces", T._parse_datatype_string(PIECES))])
+    kinds = [f.type for f in to_arrow_schema(made)]
+    while n := now.count():
+        groups = -(-n // group)
+        # rows that repeat an id go to different groups by their place in the file
+        dealt = now.withColumn("g", F.pmod(F.xxhash64("id", "n", "i"), F.lit(groups)) + first)
+        docs = dealt.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "n", "i", "f", "p"))).alias("docs"))  # about ``group`` documents
+        docs = Stored(docs.withColumn("sizes", F.transform(F.filter("docs", lambda d: d["n"] % capacity > 0), lambda d: (d["n"] % capacity).cast("int")))).df
+        best = _best(docs.where("size(sizes) > 0").select("g", "sizes"), capacity, islands, epochs, generations, population, slack, seed)
+        more = groups > 1
+
+        def place(batches: Iterator[pa.RecordBatch], more: bool = more) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for g, docs_, places in zip(*(c.to_pylist() for c in b.columns)):
+                    where = np.frombuffer(places, np.int32) if places else np.zeros(0, np.int32)
+                    fill = np.bincount(where, [d["n"] % capacity for d in docs_ if d["n"] % capacity])
+                    back = int(fill.argmin()) if more and len(fill) > 1 and fill.min() < capacity else -1  # at least one bin stays
+                    base, filled, at, out = (g << SHIFT) + len(fill), {}, iter(where.tolist()), []
+                    for d in docs_:
+                        full, rest, pieces = d["n"] // capacity, d["n"] % capacity, []
+                        for k in range(d["p"], d["p"] + full):
+                            pieces.append({"bin_id": base, "position": 0, "piece": k, "start_word": k * capacity, "n_words": capacity})
+                            base += 1
+                        if rest and (own := next(at)) != back:
+                            filled[own], k = filled.get(own, -1) + 1, d["p"] + full
+                            pieces.append({"bin_id": (g << SHIFT) + own, "position": filled[own], "piece": k, "start_word": k * capacity, "n_words": rest})
+                            rest = 0
+                        out.append((d["f"], d["i"], d["id"], rest, d["p"] + full, pieces))
+                    for lo in range(0, len(out), 10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 10_000]), kinds)], names=made.names)
+
+        placed = Stored(docs.select("g", "docs").join(best, "g", "left").mapInArrow(place, made)).df
+        done.append(placed.where("size(pieces) > 0").select("f", "i", "id", "pieces"))
+        if not more:
+            break
+        now, first = placed.where("rest > 0").select("f", "i", "id", F.col("rest").alias("n"), "p"), first + groups
+    all_ = done[0] if done else spark.createDataFrame([], T.StructType([*items.schema.fields[:3], made.fields[-1]]))
+    for x in done[1:]:
+        all_ = all_.union(x)
+    return all_
+
+
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, slack: float = SLACK, seed: int = 0) -> DataFrame:
     """(bin_id, position, id, piece, start_word, n_words): which words of which document each sequence holds.
 
-    Every word of every text is in one place. Null, empty and blank texts have no words, hence no rows. Rows that
-    repeat an id are packed each by itself, and null ids are packed as they are. Ties in size keep the order of
-    ids. Long texts are split as described above. Empty table: no rows. Other columns are not read.
+    Every word of every text is in one place. Null, empty and blank texts have no words, hence no rows. Ids may be of
+    any type that can be ordered; null ids and rows that repeat an id are packed each by itself. Ties in size keep the
+    order of ids. Long texts are split as described above. Empty table: no rows. Other columns are not read, so they
+    can't clash.
     """
-    return _plan(df, id_col, text_col, None, capacity, group, islands, epochs, generations, population, seed).drop("key")
+    rows, placed = _pieces(df, id_col, text_col, capacity, group, islands, epochs, generations, population, slack, seed)
+    return placed.select("id", F.explode("pieces").alias("x")).select("x.bin_id", "x.position", F.col("id").alias(id_col), "x.piece", "x.start_word", "x.n_words")
 
 
-def _plan(df: DataFrame, id_col: str, text_col: str, key: Column | None, capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, seed: int = 0) -> DataFrame:
-    """The rows of :func:`pack` with the ``key`` of the row each piece is of; null ids with keys are dealt to groups by those."""
+def _pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, *how) -> tuple[Rows, DataFrame]:
+    """The rows and (f, i, id, pieces) of those with words."""
     ship(df.sparkSession)
-    counted = Stored(word_counts(df, id_col, text_col, key).where("n > 0"))
-    groups = max(1, -(-counted.df.count() // group))
-    dealt_by = F.xxhash64("id") if key is None else F.when(F.col("id").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("id"))
-    one = counted.df.groupBy(F.pmod(dealt_by, F.lit(groups)).alias("g")).agg(F.array_sort(F.collect_list(F.struct("id", "n", "key"))).alias("docs"))
-    one = one.withColumn("sizes", F.transform(F.filter("docs", lambda d: d["n"] % capacity > 0), lambda d: (d["n"] % capacity).cast("int")))
-    dealt = Stored(one)
-    rows = dealt.df.select("g", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "sizes", F.lit(None).cast("array<binary>").alias("people"), F.lit(None).cast("binary").alias("guest"))
-    rows, kept = rows.repartition("g", "island"), None
-    for k in range(epochs):
-        old, kept = kept, Stored(_epoch(rows, capacity, generations, population, k, seed))
-        if old:
-            old.drop()
-        ring = Window.partitionBy("g").orderBy("island")
-        last = F.last("elite").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        rows = kept.df.withColumn("elite", F.try_element_at("people", F.lit(1))).withColumn("guest", F.coalesce(F.lag("elite").over(ring), last))
-        rows = rows.repartition("g", "island")
-    best = kept.df.groupBy("g").agg(F.max_by(F.try_element_at("people", F.lit(1)), F.struct("fit", -F.col("island"))).alias("places"))
-    counted.drop()
+    rows = Rows(df)
+    counted = Stored(word_counts(rows.select(id=rows.col(id_col), text=rows.col(text_col))).where("n > 0")).df
+    placed = _placed(df.sparkSession, counted, capacity, *how)
+    return rows, placed
 
-    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for g, docs, places in zip(*(c.to_pylist() for c in b.columns)):
-                where = iter(np.frombuffer(places, np.int32).tolist() if places else [])
-                filled, out = {}, []
-                rest = [next(where) if d["n"] % capacity else -1 for d in docs]
-                bins = max(rest, default=-1) + 1
-                for d, at in zip(docs, rest):
-                    full = d["n"] // capacity
-                    for k in range(full):
-                        out.append(((g << SHIFT) + bins, 0, d["id"], k, k * capacity, capacity, d["key"]))
-                        bins += 1
-                    if at >= 0:
-                        filled[at] = filled.get(at, -1) + 1
-                        out.append(((g << SHIFT) + at, filled[at], d["id"], full, full * capacity, d["n"] % capacity, d["key"]))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-                for lo in range(0, len(out), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 100_000]), kinds)], names=["bin_id", "position", "doc_id", "piece", "start_word", "n_words", "key"])
-
-    return dealt.df.select("g", "docs").join(best, "g", "left").mapInArrow(plan, PLAN).withColumnRenamed("doc_id", id_col)
-
-
-def packed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False, **options) -> DataFrame:
+
+def packed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, slack: float = SLACK, seed: int = 0) -> DataFrame:
     """The plan of :func:`pack` with the ``text`` of each piece, as it stands in the document.
 
-    Texts are looked up by id, so ids with different texts, which would mix them up, are not allowed here, unless
-    ``by_text``: then they are looked up by id and a hash of the text, so that each row, of a null or repeated id
-    too, is packed with its own text.
+    Each row is packed with its own text, whatever its id is: nothing is looked up by id.
     """
-    docs = df.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text")).where("__text is not null and __text != ''")
-    if by_text:
-        plan = _plan(df, id_col, text_col, F.xxhash64(text_col), **options)
-        docs = docs.withColumn("__key", F.xxhash64("__text"))
-        twice = Stored(docs.groupBy("__id", "__key").count().where("count > 1"))
-        if not twice.df.isEmpty():
-            docs = docs.dropDuplicates(["__id", "__key"])
-        twice.drop()
-        both = plan.join(docs, plan[id_col].eqNullSafe(docs["__id"]) & (plan["key"] == docs["__key"])).drop("__id", "__key", "key")
-        return _with_texts(both, plan.drop("key"))
-    plan = pack(df, id_col, text_col, **options)
-    twice = Stored(docs.groupBy("__id").agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64("__text")).alias("m")).where("n > 1"))
-    if not twice.df.where("m > 1").isEmpty():
-        raise ValueError(f"{id_col} has different texts under one id")
-    if not twice.df.isEmpty():
-        docs = docs.dropDuplicates(["__id"])
-    twice.drop()
-    return _with_texts(plan.join(docs, plan[id_col].eqNullSafe(docs["__id"])).drop("__id"), plan)
-
-
-def _with_texts(both: DataFrame, plan: DataFrame) -> DataFrame:
-    """The plan's rows, each with the part of its document's text, the last column of ``both``, that it places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for lo, hi in slices(b.column(6)):
-                buf, off = utf8(b.column(6).slice(lo, hi - lo))
-                start, end, at = words(buf, off)
-                raw = buf.tobytes()
-                first = at[:-1] + b.column(4).slice(lo, hi - lo).to_numpy()
-                last = first + b.column(5).slice(lo, hi - lo).to_numpy() - 1
-                out += [raw[start[x] : end[y]].decode("utf-8", "surrogatepass") for x, y in zip(first, last)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(out, pa.string())], names=[*b.schema.names[:6], "text"])
-
-    return both.mapInArrow(run, T.StructType([*plan.schema.fields, T.StructField("text", T.StringType())]))
+    rows, placed = _pieces(df, id_col, text_col, capacity, group, islands, epochs, generations, population, slack, seed)
+    own, text = (df.columns.index(c) for c in (id_col, text_col))
+
+    def run(columns: list[pa.Array], at: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        hit = np.flatnonzero(at >= 0)
+        if not len(hit):
+            return
+        docs, pieces = columns[text].take(pa.array(hit)), table["pieces"].combine_chunks().take(pa.array(at[hit]))
+        ids = columns[own].take(pa.array(hit))
+        for lo, hi in slices(docs):
+            part = pieces.slice(lo, hi - lo)
+            per = pc.list_value_length(part).to_numpy(zero_copy_only=False)
+            buf, off = utf8(docs.slice(lo, hi - lo))
+            start, end, first = words(buf, off)
+            raw, flat = buf.tobytes(), part.flatten()
+            cols = {n: pc.struct_field(flat, n) for n in ("bin_id", "position", "piece", "start_word", "n_words")}
+            x = np.repeat(first[:-1], per) + cols["start_word"].to_numpy()
+            y = x + cols["n_words"].to_numpy() - 1
+            out = [raw[start[a] : end[b]].decode("utf-8", "surrogatepass") for a, b in zip(x, y)]
+            mine = ids.slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), per)))
+            yield pa.RecordBatch.from_arrays([cols["bin_id"], cols["position"], mine, cols["piece"], cols["start_word"], cols["n_words"], pa.array(out, pa.string())], names=[f"c{k}" for k in range(7)])
+
+    plan = [("bin_id", T.LongType()), ("position", T.IntegerType()), (id_col, df.schema[id_col].dataType), ("piece", T.IntegerType()), ("start_word", T.LongType()), ("n_words", T.IntegerType()), ("text", T.StringType())]
+    made = T.StructType([T.StructField(f"c{k}", t) for k, (_, t) in enumerate(plan)])
+    each = placed.groupBy("f", "i").agg(F.flatten(F.collect_list("pieces")).alias("pieces"))
+    return rows.mapped(rows.lookup(each), run, made).toDF(*(n for n, _ in plan))

@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tabweave.llm.rows import restored
 from tabweave.llm.text import BYTE_HASH, slices, spans_hash, utf8, words
 from tabweave.session import ship
 
@@ -147,11 +149,13 @@ def score(model: Model, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model | None:
     """The model, from the texts of at most ``sample`` ids for each label; None unless both labels have a text.
 
-    Labels other than 0 and 1, null ids and ids with two labels are left out, and so are texts without lines.
+    Labels other than 0 and 1, null ids and ids with two labels are left out, and so are texts without lines. Ids may
+    be of any type that can be ordered; those of ``labels`` are cast to the type that ``df`` has.
     """
     ship(df.sparkSession)
-    ids = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
-    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    kind = df.schema[id_col].dataType
+    ids = labels.select(F.col(id_col).try_cast(kind).alias("id"), F.col(label_col).try_cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     chosen = ids.where("y = 0").orderBy(F.xxhash64("id"), "id").limit(sample).union(ids.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(sample)).select("id", "y")
     rows = texts.join(F.broadcast(chosen), "id")  # 2 * sample rows at most
 
@@ -162,7 +166,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 x = x.astype(np.float32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([x[s:e].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())], names=["id", "y", "x"])
 
-    got = sorted((r for r in rows.select("id", "text", "y").mapInArrow(run, "id bigint, y int, x binary").collect() if r.x), key=lambda r: (r.id, bytes(r.x)))
+    got = sorted((r for r in rows.select("id", "text", "y").mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])).collect() if r.x), key=lambda r: (r.id, bytes(r.x)))
     y = np.array([r.y for r in got], np.int64)
     if len(set(y.tolist())) < 2:
         return None
@@ -189,12 +193,17 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     [b.column(0).slice(lo, hi - lo), pa.nulls(hi - lo, pa.float64()) if q is None else pa.array(q), pa.array(n), pa.array(bad), pa.array(np.ones(hi - lo, bool) if q is None else q >= keep)],
                     names=["id", "quality", "n_lines", "n_bad_lines", "good"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, quality double, n_lines bigint, n_bad_lines bigint, good boolean").withColumnRenamed("id", id_col)
+    made = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("quality", T.DoubleType()), T.StructField("n_lines", T.LongType()), T.StructField("n_bad_lines", T.LongType()), T.StructField("good", T.BooleanType())])
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, made).toDF(id_col, *made.names[1:])
 
 
 def drop_low_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """The rows of ``df`` that :func:`classify` calls good, as they are."""
+    """The rows of ``df`` that :func:`classify` calls good, as they are.
+
+    Null, empty and blank texts go; null and repeated ids, repeated rows, long texts and ties in quality make no
+    difference to a row's own verdict. Without labelled texts of both kinds all rows stay. All columns stay, whatever
+    their names. Empty table: no rows.
+    """
     model = train(df, labels, id_col, text_col, label_col, sample)
     if model is None:
         return df
@@ -206,4 +215,5 @@ def drop_low_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 part = b.slice(lo, hi - lo)
                 yield part.filter(pa.array(score(shared.value, part.column(place))[0] >= keep))
 
-    return df.mapInArrow(run, df.schema)
+    plain = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(df.schema)])
+    return restored(df.toDF(*plain.names).mapInArrow(run, plain), df.schema)

@@ -6,16 +6,20 @@ with a smaller id or earlier in the same one. All such windows of words are foun
 1. Each window belongs to the least-hashed run of ``anchor`` words in it, the leftmost of equals. Equal windows
    have equal anchors, and neighbouring windows share theirs, so a row for each stretch of windows with one
    anchor, a few for every ``least`` words, is enough to bring equal windows together.
-2. An exchange by anchor drops those that occur once. Stretches with equal words throughout are one repeated
-   text: all but the first are passages whose previous factor is the first.
+2. Anchors that occur once go, by an aggregate and a join, so that no anchor is one task's, however often it occurs.
+   Stretches with equal words throughout are one repeated text: all but the first are passages whose previous factor
+   is the first.
 3. The first ones of anchors with different stretches go to suffix arrays, in buckets by anchor. In each bucket
    the stretches, with the words up to the end of their last window, are laid out in corpus order; the suffix
    array comes from prefix doubling, previous and next smaller positions in suffix order are the candidates for
    the earlier match, and the longer common prefix with either is the longest previous factor. Windows start a
    repeated passage where it is at least ``least``. An anchor with more than ``crowd`` different stretches would
-   overfill a bucket: its windows are compared one by one, by hash, with the same result.
+   overfill a bucket: its windows are dealt out anew by anchors of twice the length, and so on; an anchor as long as
+   the window has one kind of stretch only.
 4. The passages of a document are cut from its text: later copies go and the first one stays. Where a text
    overlaps its own copy, what the first copy covers stays too.
+
+Texts aren't exchanged: words of stretches and passages to be cut are looked up by row (see :mod:`tabweave.llm.rows`).
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabweave.llm.rows import Rows, restored
 from tabweave.llm.text import mix, runs_hash, slices, spans_hash, utf8, word_hashes, words
 from tabweave.session import Stored, ship
 
@@ -104,12 +109,13 @@ def previous_factors(parts: list[np.ndarray], owned: list[int], least: int) -> t
     """
     sizes = np.array([len(p) + 1 for p in parts])
     begin = np.cumsum(sizes) - sizes
-    text = np.empty(int(sizes.sum()), np.int64)
+    text = np.zeros(int(sizes.sum()), np.uint64)
     mine = np.zeros(len(text), bool)
     for k, p in enumerate(parts):
         text[begin[k] : begin[k] + len(p)] = p
-        text[begin[k] + len(p)] = (1 << 33) + k  # ends that equal nothing
         mine[begin[k] : begin[k] + owned[k]] = True
+    text = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    text[begin + sizes - 1] = len(text) + np.arange(len(parts))  # ends that equal nothing
     levels = suffix_levels(text)
     suffixes = np.argsort(levels[-1])
     suffixes = suffixes[mine[suffixes]]
@@ -147,6 +153,8 @@ def _joined(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ..
 
 
 def _stretch_rows(docs: DataFrame, least: int, anchor: int) -> DataFrame:
+    """(h, g, id, th, i0, i1) of the stretches of texts (id, th, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in slices(b.column(2)):
@@ -156,35 +164,64 @@ def _stretch_rows(docs: DataFrame, least: int, anchor: int) -> DataFrame:
                     [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(i0.astype(np.int32)), pa.array(i1.astype(np.int32))],
                     names=["h", "g", "id", "th", "i0", "i1"])
 
-    return docs.mapInArrow(run, "h bigint, g bigint, id bigint, th bigint, i0 int, i1 int")
+    return docs.select("id", "th", "text").mapInArrow(run, _kinds("h bigint, g bigint", docs, "i0 int, i1 int"))
 
 
-def _stretch_words(with_text: DataFrame, least: int) -> DataFrame:
-    """The words, as four-byte hashes, of the stretches ``x`` of each text."""
+def _kinds(before: str, docs: DataFrame, after: str) -> T.StructType:
+    """Fields around those of a document's (id, th)."""
+    parse = T._parse_datatype_string
+    return T.StructType([*parse(before).fields, docs.schema["id"], docs.schema["th"], *parse(after).fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi in slices(b.column("text")):
-                part = b.slice(lo, hi - lo)
-                h, at = word_hashes(part.column("text"))
-                w = (h >> np.uint64(32)).astype(np.uint32)
-                x = part.column("x")
-                per = pc.list_value_length(x).to_numpy(zero_copy_only=False)
-                doc, flat = np.repeat(np.arange(part.num_rows), per), x.flatten()
-                bucket, i0, i1 = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                blobs = [w[at[k] + s : at[k] + e + least].tobytes() for k, s, e in zip(doc, i0, i1)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket), part.column("id").take(pa.array(doc)), part.column("th").take(pa.array(doc)), pa.array(i0), pa.array(i1), pa.array(blobs, pa.binary())],
-                    names=["bucket", "id", "th", "i0", "i1", "words"])
 
-    return with_text.mapInArrow(run, "bucket bigint, id bigint, th bigint, i0 int, i1 int, words binary")
+def _looked_up(rows: Rows, keyed: DataFrame, wanted: DataFrame, text_col: str, run, schema: T.StructType) -> DataFrame:
+    """``run`` of (texts, id, th, x) for the lists x of ``wanted`` (id, th, x), each list at one row that has its text."""
+    found = wanted.join(keyed, ["id", "th"]).groupBy("id", "th").agg(F.min(F.struct("f", "i")).alias("at"), F.first("x").alias("x"))
+    place = rows.columns.index(text_col)
+
+    def go(columns: list[pa.Array], at: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        hit = np.flatnonzero(at >= 0)
+        if not len(hit):
+            return
+        texts, took = columns[place].take(pa.array(hit)), table.take(pa.array(at[hit])).combine_chunks()
+        id_, th, x = (took[c].combine_chunks() for c in ("id", "th", "x"))
+        for lo, hi in slices(texts):
+            yield run(texts.slice(lo, hi - lo), *(c.slice(lo, hi - lo) for c in (id_, th, x)))
+
+    return rows.mapped(rows.lookup(found.select("at.f", "at.i", "id", "th", "x")), go, schema)
+
+
+def _flat(x: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of lists of structs: the list of each struct, and the fields."""
+    per = pc.list_value_length(x).to_numpy(zero_copy_only=False)
+    flat = x.flatten()
+    return np.repeat(np.arange(len(x)), per), [pc.struct_field(flat, k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)]
+
+
+def _stretch_words(texts: pa.Array, id_: pa.Array, th: pa.Array, x: pa.Array, least: int) -> pa.RecordBatch:
+    """The hashes of the words of the stretches ``x`` (bucket, i0, i1) of each text."""
+    h, at = word_hashes(texts)
+    doc, (bucket, i0, i1) = _flat(x)
+    blobs = [h[at[k] + s : at[k] + e + least].tobytes() for k, s, e in zip(doc, i0, i1)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket), id_.take(pa.array(doc)), th.take(pa.array(doc)), pa.array(i0), pa.array(i1), pa.array(blobs, pa.binary())], names=["bucket", "id", "th", "i0", "i1", "words"])
+
+
+def _split(texts: pa.Array, id_: pa.Array, th: pa.Array, x: pa.Array, least: int, anchor: int) -> pa.RecordBatch:
+    """The stretches by longer anchors of the windows i0 to i1 of each of the stretches ``x`` (i0, i1)."""
+    h, at = word_hashes(texts)
+    doc, (i0, i1) = _flat(x)
+    n = i1.astype(np.int64) - i0 + least
+    ends = np.concatenate([[0], np.cumsum(n)])
+    words_ = h[np.repeat(at[doc] + i0, n) + np.arange(ends[-1]) - np.repeat(ends[:-1], n)]
+    d, s, e, a, g = stretches(words_, ends, least, anchor)
+    own, first = pa.array(doc[d]), i0[d]
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(g.view(np.int64)), id_.take(own), th.take(own), pa.array((first + s).astype(np.int32)), pa.array((first + e).astype(np.int32))], names=["h", "g", "id", "th", "i0", "i1"])
 
 
 def _factor_spans(rows: DataFrame, least: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("th", "ascending"), ("i0", "ascending")])
         ids, ths, i0, i1 = (table[c].to_numpy() for c in ("id", "th", "i0", "i1"))
-        parts = [np.frombuffer(x, np.uint32) for x in table["words"].to_pylist()]
+        parts = [np.frombuffer(x, np.uint64) for x in table["words"].to_pylist()]
         p, at, q, from_ = previous_factors(parts, (i1 - i0 + 1).tolist(), least)
         start, end = i0[p] + at, i0[p] + at + least
         start = np.where((ids[p] == ids[q]) & (ths[p] == ths[q]), np.maximum(start, i0[q] + from_ + least), start)
@@ -192,79 +229,60 @@ def _factor_spans(rows: DataFrame, least: int) -> DataFrame:
         doc = np.cumsum(np.append([0], (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1]))) if len(ids) else np.zeros(0, np.int64)
         first = np.unique(doc, return_index=True)[1]
         d, s, e = _joined(doc[p[ok]].astype(np.int64), start[ok].astype(np.int64), end[ok].astype(np.int64))
-        return pa.table({"id": ids[first[d]], "th": ths[first[d]], "s": s.astype(np.int32), "e": e.astype(np.int32)})
-
-    return rows.groupBy("bucket").applyInArrow(run, "id bigint, th bigint, s int, e int")
-
+        own = table.take(pa.array(first[d]))
+        return pa.table([own["id"], own["th"], pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["id", "th", "s", "e"])
 
-def _window_rows(with_text: DataFrame, least: int) -> DataFrame:
-    """A row for each window of the stretches ``x``, with its hash."""
+    return rows.groupBy("bucket").applyInArrow(run, T.StructType([rows.schema["id"], rows.schema["th"], T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi in slices(b.column("text")):
-                part = b.slice(lo, hi - lo)
-                h, at = word_hashes(part.column("text"))
-                x = part.column("x")
-                per = pc.list_value_length(x).to_numpy(zero_copy_only=False)
-                doc, flat = np.repeat(np.arange(part.num_rows), per), x.flatten()
-                i0, i1 = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
-                n = i1 - i0 + 1
-                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(i0, n)
-                doc = np.repeat(doc, n)
-                g = spans_hash(h, at[doc] + place, at[doc] + place + least)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.view(np.int64)), part.column("id").take(pa.array(doc)), part.column("th").take(pa.array(doc)), pa.array(place.astype(np.int32))], names=["g", "id", "th", "i0"])
-
-    return with_text.mapInArrow(run, "g bigint, id bigint, th bigint, i0 int")
-
-
-def _copy_spans(rows: DataFrame, least: int) -> DataFrame:
-    """Spans of the copies among ``rows``, beside ``r``: the first one (id, th, i0)."""
-    same = (F.col("id") == F.col("r.id")) & (F.col("th") == F.col("r.th"))
-    s = F.when(same, F.greatest("i0", F.col("r.i0") + least)).otherwise(F.col("i0"))
-    return rows.select("id", "th", s.alias("s"), (F.col("i1") + least).alias("e")).where("s < e")
-
-
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return src.select("id", F.xxhash64("text", F.length("text")).alias("th"), "text")
 
-
-def _texts_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    lists = rows.groupBy("id", "th").agg(F.collect_list(F.struct("bucket", "i0", "i1")).alias("x"))
-    return lists.join(docs.hint("merge"), ["id", "th"]).select("id", "th", "text", "x")
-
-
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, anchor: int = ANCHOR, crowd: int = CROWD, bucket: int = BUCKET) -> DataFrame:
-    """(id, th, s, e): words s to e of the texts (by id and hash of the text) that are later copies; spans may overlap."""
+def repeated_spans(rows: Rows, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, anchor: int = ANCHOR, crowd: int = CROWD, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(id, th, s, e): words s to e of the texts (by id and hash of the text) that are later copies, spans may overlap; and (f, i, id, th) of the rows."""
     if not 0 < anchor <= least:
         raise ValueError("anchor must be from 1 to least")
-    ship(df.sparkSession)
-    docs = _keyed(df, id_col, text_col)
-    one = Window.partitionBy("h").orderBy("g", "id", "th", "i0")
-    per = Window.partitionBy("h")
-    rows = _stretch_rows(docs, least, anchor).withColumn("new", F.coalesce(F.lag("g").over(one) != F.col("g"), F.lit(True)))
-    rows = rows.withColumn("n", F.count("*").over(per)).where("n > 1")
-    rows = rows.withColumn("r", F.last(F.when(F.col("new"), F.struct("id", "th", "i0")), True).over(one.rowsBetween(Window.unboundedPreceding, 0)))
-    # a row that repeats an id and its text is the same document, not a copy
-    same = (F.col("id") == F.col("r.id")) & (F.col("th") == F.col("r.th")) & (F.col("i0") == F.col("r.i0"))
-    rows = rows.where(F.col("new") | ~same).withColumn("kinds", F.sum(F.col("new").cast("int")).over(per))
-    kept = Stored(rows.where("not new or kinds > 1").select("h", "id", "th", "i0", "i1", "new", "r", "kinds"))
-    spans = _copy_spans(kept.df.where("not new"), least)
-    firsts = kept.df.where("new")
-    size = firsts.where(f"kinds <= {crowd}").agg(F.coalesce(F.sum(F.col("i1") - F.col("i0") + 1 + least), F.lit(0))).first()[0]
-    if size:
-        buckets = max(1, -(-size // bucket))
-        few = firsts.where(f"kinds <= {crowd}").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-        spans = spans.union(_factor_spans(_stretch_words(_texts_of(few, docs), least), least))
-    many = firsts.where(f"kinds > {crowd}")
-    if not many.isEmpty():
-        windows = _window_rows(_texts_of(many.withColumn("bucket", F.lit(0).cast("bigint")), docs), least).distinct()
-        one = Window.partitionBy("g").orderBy("id", "th", "i0")
-        windows = windows.withColumn("i1", F.col("i0")).withColumn("r", F.first(F.struct("id", "th", "i0")).over(one))
-        spans = spans.union(_copy_spans(windows.where("id != r.id or th != r.th or i0 != r.i0"), least))
-    return spans
+    ship(rows.spark)
+    docs = rows.select(id=rows.col(id_col), text=rows.col(text_col)).where("id is not null and text is not null")
+    docs = docs.select("f", "i", "id", F.xxhash64("text", F.length("text")).alias("th"), "text")
+    keyed = docs.select("f", "i", "id", "th")
+    spans, level = [], Stored(_stretch_rows(docs, least, anchor))
+    while True:
+        often = level.df.groupBy("h").agg(F.count("*").alias("n"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("n > 1").select("h", (F.col("g0") != F.col("g1")).alias("mixed"))
+        met = Stored(level.df.join(often, "h"))
+        level.drop()
+        first = Stored(met.df.groupBy("h", "g", "mixed").agg(F.min(F.struct("id", "th", "i0", "i1")).alias("r"), F.count("*").alias("n")))
+        # a row that repeats an id and its text is the same document, not a copy
+        own = first.df.where("n > 1").select("h", "g", "r")
+        copies = met.df.join(own, ["h", "g"]).where("id != r.id or th != r.th or i0 != r.i0")
+        same = (F.col("id") == F.col("r.id")) & (F.col("th") == F.col("r.th"))
+        s = F.when(same, F.greatest("i0", F.col("r.i0") + least)).otherwise(F.col("i0"))
+        out = Stored(copies.select("id", "th", s.alias("s"), (F.col("i1") + least).alias("e")).where("s < e"))
+        spans.append(out.df)
+        firsts = first.df.where("mixed").select("h", "r.*")
+        kinds = firsts.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(F.col("i1") - F.col("i0") + 1 + least).alias("size"))
+        few, size = kinds.where(f"kinds <= {crowd}"), kinds.groupBy((F.col("kinds") > crowd).alias("many")).agg(F.sum("size")).collect()
+        size = dict(map(tuple, size))
+        if size.get(False):
+            buckets = max(1, -(-size[False] // bucket))
+            dealt = firsts.join(few.select("h"), "h", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+            wanted = dealt.groupBy("id", "th").agg(F.collect_list(F.struct("bucket", "i0", "i1")).alias("x"))
+            looked = _looked_up(rows, keyed, wanted, text_col, lambda *a: _stretch_words(*a, least), _kinds("bucket bigint", docs, "i0 int, i1 int, words binary"))
+            spans.append(Stored(_factor_spans(looked, least)).df)
+        if not size.get(True):
+            met.drop()
+            first.drop()
+            return _union(spans), keyed
+        anchor = min(least, 2 * anchor)
+        many = firsts.join(kinds.where(f"kinds > {crowd}").select("h"), "h", "left_semi")
+        wanted = many.groupBy("id", "th").agg(F.collect_list(F.struct("i0", "i1")).alias("x"))
+        level = Stored(_looked_up(rows, keyed, wanted, text_col, lambda *a, n=anchor: _split(*a, least, n), _kinds("h bigint, g bigint", docs, "i0 int, i1 int")))
+        met.drop()
+        first.drop()
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
 
 
 def cut(col: pa.Array, per: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[tuple[str | None, int]]:
@@ -288,37 +306,35 @@ def cut(col: pa.Array, per: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[tu
     return out
 
 
-def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, anchor: int = ANCHOR, crowd: int = CROWD, bucket: int = BUCKET) -> DataFrame:
-    """``df`` with later copies of passages cut from its texts, and ``words_removed``; all rows and columns stay.
+def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, anchor: int = ANCHOR, crowd: int = CROWD, bucket: int = BUCKET, removed: str = "words_removed") -> DataFrame:
+    """``df`` with later copies of passages cut from its texts, and ``removed``, how many words went; all rows and columns stay.
 
     The white space after a cut passage goes with it, and at the end of a text that before it. A text that is
-    all copies becomes empty. Null ids and null texts take no part: such rows stay as they are, with 0. Texts of
-    under ``least`` words can't change. Rows that repeat an id and its text are one document, and are cut alike;
-    different texts under one id are different documents, in the order of their hashes. Empty table: no rows.
-    A column named ``words_removed`` is replaced; no other name matters.
+    all copies becomes empty. Ids may be of any type that can be ordered. Null ids and null texts take no part: such
+    rows stay as they are, with 0. Texts of under ``least`` words can't change. Rows that repeat an id and its text are
+    one document, and are cut alike; different texts under one id are different documents, in the order of their
+    hashes. Empty table: no rows. A column that is named ``removed`` is replaced; no other name matters.
     """
-    spans = Stored(repeated_spans(df, id_col, text_col, least, anchor, crowd, bucket))
-    lists = spans.df.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("__spans")).toDF("__id", "__th", "__spans")
-    df = df.drop("words_removed")
-    docs = df.withColumn("__id0", F.col(id_col).cast("bigint")).withColumn("__th0", F.xxhash64(text_col, F.length(text_col)))
-    both = docs.join(lists.hint("merge"), (F.col("__id0") == F.col("__id")) & (F.col("__th0") == F.col("__th")), "left").select(*[F.col(f"`{c}`") for c in df.columns], "__spans")
-    place = df.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, col = b.column(b.num_columns - 1), b.column(place)
-            per = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
-            gone = np.zeros(len(per), np.int64)
-            hit = np.flatnonzero(per)
-            if len(hit):
-                flat = x.flatten()
-                new = cut(col.take(pa.array(hit)), per[hit], *(flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
-                gone[hit] = [n for _, n in new]
-                mask = np.zeros(len(per), bool)
-                mask[hit] = True
-                col = pc.replace_with_mask(col, pa.array(mask), pa.array([t for t, _ in new], col.type))
-            cols = [*b.columns[:-1], pa.array(gone)]
-            cols[place] = col
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "words_removed"])
-
-    return both.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("words_removed", T.LongType())]))
+    rows = Rows(df.drop(removed))
+    spans, keyed = repeated_spans(rows, id_col, text_col, least, anchor, crowd, bucket)
+    lists = spans.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("x"))
+    place = rows.columns.index(text_col)
+
+    def run(columns: list[pa.Array], at: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        gone, col = np.zeros(len(at), np.int64), columns[place]
+        hit = np.flatnonzero(at >= 0)
+        if len(hit):
+            x = table["x"].combine_chunks().take(pa.array(at[hit]))
+            _, (s, e) = _flat(x)
+            new = cut(col.take(pa.array(hit)), pc.list_value_length(x).to_numpy(zero_copy_only=False), s, e)
+            gone[hit] = [n for _, n in new]
+            mask = np.zeros(len(at), bool)
+            mask[hit] = True
+            col = pc.replace_with_mask(col, pa.array(mask), pa.array([t for t, _ in new], col.type))
+        cols = [*columns, pa.array(gone)]
+        cols[place] = col
+        yield pa.RecordBatch.from_arrays(cols, names=[f"c{k}" for k in range(len(cols))])
+
+    out = T.StructType([*rows.schema.fields, T.StructField(removed, T.LongType())])
+    plain = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(out)])
+    return restored(rows.mapped(rows.lookup(lists.join(keyed, ["id", "th"]).select("f", "i", "x")), run, plain), out)

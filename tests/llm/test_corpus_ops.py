@@ -1,6 +1,7 @@
 """Packing, quality, sharding and the pipeline: round trips, held-out accuracy, brute force, and odd rows."""
 
 import itertools
+import math
 import os
 import sys
 
@@ -45,8 +46,8 @@ def test_packed_texts_rejoin(spark):
         assert " ".join(r.text for r in mine) == t
     twice = packing.packed_texts(docs(spark, rows + [rows[2]]), capacity=32, group=3).collect()
     assert sum(r.n_words for r in twice if r.doc_id == 2) == 2 * 130
-    with pytest.raises(ValueError):
-        packing.packed_texts(docs(spark, [(1, "a"), (1, "b")]))
+    odd = [(1, "a b"), (1, "c"), (None, "d"), (None, "e f"), (None, "d"), (None, None)]
+    assert sorted(r.text for r in packing.packed_texts(docs(spark, odd)).collect()) == ["a b", "c", "d", "d", "e f"]
     assert packing.packed_texts(docs(spark, [])).collect() == []
 
 
@@ -119,12 +120,96 @@ def test_sharding_is_a_permutation(spark):
         sharding.shuffle_into_shards(df, 0)
 
 
+def test_sharding_with_odd_names_and_units(spark):
+    df = spark.range(1000).selectExpr("id", "id AS `a.b`", "id AS __key", "id AS u", "id AS f", "id AS c0", "id AS key")
+    got = sharding.shuffle_into_shards(df, 3, rows_per_unit=70)
+    assert got.columns == [*df.columns, "shard_id", "shard_pos"]
+    rows = got.collect()
+    assert all(len({r[k] for k in range(7)}) == 1 for r in rows)
+    assert sorted((r.shard_id, r.shard_pos) for r in rows) == [(s, p) for s, n in enumerate((334, 333, 333)) for p in range(n)]
+    assert np.mean([r.id == 334 * r.shard_id + r.shard_pos for r in rows]) < 0.02
+
+
 def test_communication_matrix():
-    sizes = np.array([5, 0, 12, 3, 9])
-    rows = np.stack([sharding.matrix_row(sizes, p, 4, 1) for p in range(5)])
-    assert (rows.sum(1) == sizes).all() and (rows.sum(0) == sharding.shard_sizes(29, 4)).all()
-    first = np.array([sharding.matrix_row(np.array([6, 6]), 0, 2, s)[0] for s in range(4000)])
-    assert abs(first.mean() - 3) < 0.06 and abs(first.var() - 6 * 0.5 * 0.5 * 6 / 11) < 0.06  # hypergeometric moments
+    sizes, units = np.array([5, 0, 12, 3, 9]), np.array([7, 0, 12, 9, 1])
+    rows = np.stack([sharding.matrix_row(sizes, p, units, 1) for p in range(5)])
+    assert (rows.sum(1) == sizes).all() and (rows.sum(0) == units).all()
+    got = np.array([sharding.matrix_row(np.array([3, 2, 1]), 1, np.array([2, 3, 1]), s) for s in range(6000)])
+    # brute force: all orders of the six places
+    want, seen = {}, {}
+    for order in itertools.permutations([0, 0, 1, 1, 1, 2]):
+        key = tuple(order[3:5].count(u) for u in range(3))
+        want[key] = want.get(key, 0) + 1 / 720
+    for g in got:
+        seen[tuple(g.tolist())] = seen.get(tuple(g.tolist()), 0) + 1
+    assert set(seen) == set(want) and sum((seen[k] - 6000 * p) ** 2 / (6000 * p) for k, p in want.items()) < 25  # chi square, 4 degrees
+
+
+def test_large_draws():
+    rng = np.random.default_rng(0)
+    n = 40_000
+    for good, bad, size in ((30, 50, 20), (500, 300, 600), (4, 1000, 300)):
+        got = sharding.large_draws(rng, np.full(n, good), np.full(n, bad), np.full(n, size))
+        k = np.arange(max(0, size - bad), min(good, size) + 1)
+        p = np.array([math.comb(good, x) * math.comb(bad, size - x) / math.comb(good + bad, size) for x in k])
+        seen = np.bincount(got - k[0], minlength=len(k))
+        some = p * n >= 10
+        assert seen.sum() == n and ((seen[some] - n * p[some]) ** 2 / (n * p[some])).sum() < some.sum() + 5 * np.sqrt(2 * some.sum())
+    good, bad, size = 4 * 10**11, 6 * 10**11, 3 * 10**11
+    got = sharding.large_draws(rng, np.full(4000, good), np.full(4000, bad), np.full(4000, size))
+    var = size * 0.4 * 0.6 * (1 - size / (good + bad))
+    assert abs(got.mean() - size * 0.4) < 5 * np.sqrt(var / 4000) and abs(got.var() / var - 1) < 0.15
+    row = sharding.matrix_row(np.full(10**6, 10**5), 4321, sharding.sizes_of(10**11, 1000), 0)
+    assert row.sum() == 10**5 and abs(row - 100).max() < 60
+
+
+def test_packing_beats_best_fit_on_hard_sizes():
+    rng = packing.random.Random(3)
+    won = 0
+    for case in range(4):
+        sizes = [rng.randint(20, 100) for _ in range(120)]
+        start = packing._fresh(sizes, 150, rng, 0.0)
+        people = packing.evolve(sizes, 150, [start], 400, 8, packing.random.Random(case))
+        assert len(people[0].bins) <= len(start.bins) and people[0].fit >= start.fit
+        assert sorted(itertools.chain(*people[0].bins)) == list(range(120)) and all(sum(sizes[i] for i in b) <= 150 for b in people[0].bins)
+        won += people[0].fit > start.fit
+    assert won == 4
+    sizes = [6, 6, 5, 5, 4, 4]  # brute force: two bins of 15; best fit needs three
+    start = packing._fresh(sizes, 15, rng, 0.0)
+    assert len(start.bins) == 3 and len(packing.evolve(sizes, 15, [start], 200, 6, rng)[0].bins) == 2
+
+
+def test_packing_fills_rooms_across_groups(spark):
+    rng = np.random.default_rng(12)
+    rows = [(None, words(rng, int(n))) for n in rng.integers(20, 60, 600)]  # no id at all
+    got = packing.pack(docs(spark, rows), capacity=100, group=40, generations=4).collect()
+    fill = {}
+    for r in got:
+        fill[r.bin_id] = fill.get(r.bin_id, 0) + r.n_words
+    total = sum(len(t.split()) for _, t in rows)
+    assert sum(fill.values()) == total and max(fill.values()) <= 100 and len(fill) <= -(-total // 100) * 1.05
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_any_ids_and_names(spark, kind):
+    rng = np.random.default_rng(13)
+    passage, one, two = words(rng, 70), words(rng, 150), words(rng, 90)
+    prose, junk = "This is a plain line of prose, as one writes it.\nAnd here is another one.", "$$$ @@@ 1234 ### !!!\n<<<>>> 99 || 88 ~~ \n%%% ^^^"
+    rows = [(1, one), (2, one), (3, one + " and more"), (4, passage), (5, two + " " + passage), (5, words(rng, 40)), (None, two), (None, prose), (7, ""), (8, None)]
+    names = ["doc_id", "text", "a.b", "__key", "__id", "__th", "__spans", "__again", "__n", "f", "i", "c0", "removed", "words_removed"]
+    df = spark.createDataFrame([(None if i is None else str(i), t, *([str(k)] * 12)) for k, (i, t) in enumerate(rows)], ", ".join(f"`{n}` string" for n in names))
+    df = df.withColumn("doc_id", F.col("doc_id").cast(kind))
+    tags = lambda out: sorted(int(r["__key"]) for r in out.collect())
+    unlike = drop_near_duplicates(df)
+    assert unlike.columns == names and tags(unlike) == [0, 3, 4, 5, 6, 7, 8, 9]
+    cut = repeats.drop_repeats(df)
+    assert cut.columns == [n for n in names if n != "words_removed"] + ["words_removed"]
+    assert {int(r["__key"]): r.words_removed for r in cut.collect() if r.words_removed} == {1: 150, 2: 150, 4: 70}
+    assert {r.doc_id for r in packing.pack(df).collect()} == {r.doc_id for r in df.collect() if r.text}
+    labels = spark.createDataFrame([("1", 1), ("4", 1), ("9", 0)], "doc_id string, quality int")
+    bad = spark.createDataFrame([("9", junk)], "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    good = quality.drop_low_quality(df.unionByName(bad, allowMissingColumns=True), labels)
+    assert good.columns == names and 7 in tags(good)
 
 
 @needs

@@ -80,6 +80,29 @@ def test_mixed_bucket_pairs():
     assert components(edges) == {0: 0, 2: 0, 4: 0, 1: 1, 3: 1}
 
 
+def test_a_large_mixed_bucket_costs_few_comparisons(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base, groups, each = rng.integers(0, 255, 256, dtype=np.uint8), 400, 5
+    rows = []
+    for g in range(groups):
+        own = np.where(rng.random(256) < 0.25, base, rng.integers(0, 255, 256)).astype(np.uint8)  # a quarter is boilerplate
+        for _ in range(each):
+            rows.append(np.where(rng.random(256) < 0.85, own, rng.integers(0, 255, 256)).astype(np.uint8))
+    sigs = np.stack(rows)
+    bands = minhash.band_hashes(sigs.astype(np.uint64))
+    bands[:, 0] = 7  # all meet in one bucket
+    df = spark.createDataFrame([(k, [int(x) for x in b.view(np.int64)], bytearray(s.tobytes())) for k, (b, s) in enumerate(zip(bands, sigs))], "n bigint, bands array<bigint>, sig binary")
+    tried = []
+    monkeypatch.setattr(minhash, "_within", lambda r, *a, f=minhash._within: (tried.append(r.groupBy("b").count().selectExpr("coalesce(sum(count * (count - 1) / 2), 0)").first()[0]), f(r, *a))[1])
+    edges, kept = minhash._edges(df, 0.5, 64)
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    tried.append(sum(t.df.count() for t in kept[1::3]))
+    i, j = np.nonzero(np.triu((sigs[:, None, :] == sigs[None, :, :]).mean(2) >= 0.5 + 0.5 / 256, 1))
+    want = components(zip(i.tolist(), j.tolist()))
+    assert got == want and len(want) == groups * each
+    assert sum(tried) < 100 * len(rows), tried  # all pairs would be 1000 a row
+
+
 def brute(rows, least):
     """Texts without the words whose window of ``least`` stands earlier, in the order of ids."""
     seen, out = {}, {}
