@@ -8,15 +8,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
 def ship(spark: SparkSession) -> None:
     """Makes this package importable on the workers of a local session, wherever it was started.
 
-    On a cluster the package travels with the application (``--py-files`` or an image), as usual.
+    On a cluster the package travels with the application (``--py-files`` or an image), as usual. Arrow batches are
+    bounded by bytes too, unless the session says how: ten thousand long texts would be gigabytes.
     """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH).rstrip("b") == str(64 << 20):  # Spark's own default
+        spark.conf.set(BATCH, BATCH_BYTES)
     if sc.master.startswith("local[") or sc.master == "local":
         if not any(str(p).endswith("/tabweave") for p in sc.listFiles):
             sc.addFile(PACKAGE, recursive=True)
