@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20  # bytes of text that one NumPy pass holds; the arrays beside it are a few dozen times that
+CHUNK = 1 << 20  # bytes of text that one NumPy pass holds; the arrays beside it are a few dozen times that
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 BYTE_HASH = np.random.Generator(np.random.PCG64(20240517)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
