@@ -1,11 +1,14 @@
-"""Approximate nearest neighbours of every vector, by balanced posting lists.
-
-Balanced k-means over the whole table gives about sqrt(n) / 4 centroids, so lists and centroids grow alike. A
-vector is filed under its nearest centroid and, at a boundary, under others that are nearly as near, unless a
-nearer one of its lists lies closer to that centroid than the vector does. The centroids are searched in memory,
-all of them for each vector, which costs as much as a round of the k-means. A query takes the lists whose centroids
-are within ``ratio`` times the distance of its nearest one. That ratio is not guessed: the exact neighbours of ``probes`` queries in the whole table tell how
-far it must reach for the target recall.
+"""Approximate nearest neighbours of chosen vectors in a whole table, by balanced posting lists.
+
+Balanced k-means over a bounded sample (``sample`` vectors, the whole table if it has no more) gives about sqrt(n) / 4
+centroids, an eighth of the sample at most. Every vector is filed under its nearest centroid and, at a boundary, under
+others that are nearly as near, unless a nearer one of its lists lies closer to that centroid than the vector does. A
+list of more than ``most`` vectors is dealt into pieces, so that no task holds more; a query of the list asks them all.
+Filing holds each vector against all centroids, in matrix products. Queries search the centroids by a graph in memory:
+links to near centroids that don't lie behind one another, a few by lot, and a beam that widens until it finds the
+sample's nearest centroids and has room beyond the reach asked for. A query takes the lists whose centroids are within
+``ratio`` times the distance of its nearest one. That ratio is not guessed: the exact neighbours of ``probes`` queries
+in the whole table, searched by the same graph, tell how far it must reach for the target recall.
 """
 
 from __future__ import annotations
@@ -15,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.vectors import kmeans, lists, matrix, usable
+from tabweave.llm.vectors import kmeans, lists, matrix, sampled, usable
 from tabweave.session import Stored, ship
 
-K, RECALL, PROBES, BOUNDARY, ROUNDS = 10, 0.95, 256, 1.05, 4
+K, RECALL, PROBES, BOUNDARY, ROUNDS, SAMPLE, MOST = 10, 0.95, 256, 1.05, 6, 65_536, 32_768
+LINKS, LOTS, ENTRIES, BEAM = 24, 4, 32, 32
 NEAR = 1e-6  # distances below it count as it, for ratios
 
 
@@ -30,25 +34,92 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T)).clip(0)
 
 
+def links_of(centres: np.ndarray) -> np.ndarray:
+    """(k, LINKS + LOTS) links of each centroid: near ones of which none lies nearer to an earlier one, and some by lot."""
+    k, rng = len(centres), np.random.Generator(np.random.PCG64(2))
+    out = rng.integers(0, max(k, 1), (k, LINKS + LOTS))
+    near = min(k - 1, 3 * LINKS)
+    for lo in range(0, k, 1024):
+        d = distances(centres[lo : lo + 1024], centres)
+        d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
+        close = np.argpartition(d, near - 1, 1)[:, :near] if near else np.zeros((len(d), 0), np.int64)
+        for i, c in enumerate(close):
+            c = c[np.argsort(d[i, c])]
+            between, mine = distances(centres[c], centres[c]), []
+            for j in range(len(c)):
+                if len(mine) < LINKS and all(between[j, m] > d[i, c[j]] for m in mine):
+                    mine.append(j)
+            out[lo + i, : len(mine)] = c[mine]
+    return out
+
+
 class Centroids:
-    """All centroids; a search holds each row against every one of them, as a round of k-means does, so none is missed."""
+    """All centroids, and the graph by which queries search them."""
 
-    def __init__(self, centres: np.ndarray):
-        self.centres = centres
+    def __init__(self, centres: np.ndarray, sample: np.ndarray | None = None):
+        self.centres, self.links, self.beam = centres, links_of(centres), BEAM
+        self.entries = np.unique(np.linspace(0, max(len(centres) - 1, 0), min(ENTRIES, len(centres))).astype(np.int64))
+        x = centres if sample is None or not len(sample) else sample[:: max(1, len(sample) // 1024)]
+        true = self.far(x).argmin(1) if len(centres) else x
+        while self.beam < len(centres) and (self.search(x, self.beam)[0][:, 0] == true).mean() < 0.995:
+            self.beam *= 2
 
     def far(self, x: np.ndarray) -> np.ndarray:
         """Squared distances of the rows to all centroids."""
         return distances(x, self.centres)
 
+    def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, squared distances), the nearest first, of ``beam`` that the graph leads each row to; all if it is no wider."""
+        if beam >= len(self.centres):
+            d = self.far(x)
+            order = np.argsort(d, 1, kind="stable")
+            return order, np.take_along_axis(d, order, 1)
+        n, wide = len(x), (self.centres * self.centres).sum(1)
+        seen = np.zeros((n, len(self.centres)), bool)
+        ids = np.broadcast_to(self.entries, (n, len(self.entries)))
+        seen[:, self.entries] = True
+        d = distances(x, self.centres[self.entries])
+        done = np.zeros(ids.shape, bool)
+        while True:
+            order = np.argsort(d, 1, kind="stable")[:, :beam]
+            ids, d, done = (np.take_along_axis(a, order, 1) for a in (ids, d, done))
+            open_ = np.flatnonzero((~done & np.isfinite(d)).any(1))
+            if not len(open_):
+                return ids, d
+            pick = np.argsort(done[open_] | ~np.isfinite(d[open_]), 1, kind="stable")[:, :4]  # the four nearest that weren't followed
+            done[open_[:, None], pick] = True
+            near = np.sort(self.links[ids[open_[:, None], pick]].reshape(len(open_), -1), 1)
+            old = seen[open_[:, None], near]
+            old[:, 1:] |= near[:, 1:] == near[:, :-1]
+            seen[open_[:, None], near] = True
+            own = (x[open_] ** 2).sum(1)[:, None] + wide[near] - 2 * np.einsum("nd,nmd->nm", x[open_], self.centres[near])
+            own = np.where(old, np.inf, own.clip(0))
+            more = near.shape[1]
+            new = np.full((n, more), np.inf, d.dtype), np.zeros((n, more), np.int64)
+            new[0][open_], new[1][open_] = own, near
+            ids, d, done = np.concatenate([ids, new[1]], 1), np.concatenate([d, new[0]], 1), np.concatenate([done, np.zeros((n, more), bool)], 1)
+
     def within(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, centroid, distance) of the centroids that are within ``ratio`` of the row's nearest one."""
+        """(row, centroid, distance) of the centroids within ``ratio`` of the row's nearest one; the beam widens where they fill it."""
+        rows, out, beam = np.arange(len(x)), [], self.beam
+        while len(rows) and len(self.centres):
+            ids, d = self.search(x[rows], beam)
+            ok = d <= np.maximum(d[:, :1], NEAR**2) * ratio**2
+            full = ok.all(1) & (beam < len(self.centres))
+            i, j = np.nonzero(ok & ~full[:, None])
+            out.append((rows[i], ids[i, j], np.sqrt(d[i, j])))
+            rows, beam = rows[full], beam * 2
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def edge(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`within`, from all centroids by matrix products."""
         d = self.far(x)
         i, c = np.nonzero(d <= np.maximum(d.min(1, keepdims=True), NEAR**2) * ratio**2) if d.size else (np.zeros(0, np.int64),) * 2
         return i, c, np.sqrt(d[i, c])
 
     def filed(self, x: np.ndarray, boundary: float = BOUNDARY) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of each row's posting lists, the nearest centroid's and those at its boundary."""
-        i, c, d = self.within(x, boundary)
+        i, c, d = self.edge(x, boundary)
         order = np.lexsort((c, d, i))
         i, c, d = i[order], c[order], d[order]
         keep, mine, last = np.zeros(len(i), bool), [], -1
@@ -137,62 +208,81 @@ def ratio_for(rows: DataFrame, centroids: Centroids, k: int, recall: float, prob
     for x, near in zip(q, _exact(rows, q, own, k)):
         near = near[~np.isnan(near[:, 0])]
         if len(near):
-            far = np.sqrt(centroids.far(x[None])[0])
+            ids, d = centroids.search(x[None], centroids.beam)
+            far = np.full(len(centroids.centres), np.inf)  # what the graph doesn't find isn't in reach
+            far[ids[0]] = np.sqrt(d[0])
             i, c = centroids.filed(near)
             least = np.full(len(near), np.inf)
             np.minimum.at(least, i, far[c])
             need.append(least / max(float(far.min()), NEAR))
-    return float(np.quantile(np.concatenate(need), recall, method="higher")) + 1e-6 if need else 1.0
+    if not need:
+        return 1.0
+    ratio = float(np.quantile(np.concatenate(need), recall, method="higher")) + 1e-6
+    if np.isfinite(ratio):
+        return ratio
+    centroids.beam *= 2  # neighbours' lists lie beyond the beam
+    return ratio_for(rows, centroids, k, recall, probes)
 
 
-def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, recall: float = RECALL, probes: int = PROBES) -> DataFrame:
-    """(id, rank, neighbour_id, distance): the k nearest others of each vector, by Euclidean distance.
+def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, recall: float = RECALL, probes: int = PROBES, queries: Column | None = None, sample: int = SAMPLE, most: int = MOST) -> DataFrame:
+    """(id, rank, neighbour_id, distance): the k nearest others of each query, by Euclidean distance, among all rows.
 
-    Every row is a query. Equal distances: the smaller id first. Null ids, null vectors, vectors with null, NaN or
-    infinite numbers or of an uncommon length take no part. Rows that repeat an id are one point: it is no
-    neighbour of itself, and counts once, at its nearest. Fewer than k others: all of them. Empty table: no rows.
-    Other columns are not read, so they can't clash.
+    ``queries``: a condition on ``id``; without it every row is a query. Equal distances: the smaller id first. Ids are
+    whole numbers; ids that are none (as numbers or as text), null ids, null vectors, vectors with null, NaN or infinite
+    numbers or of an uncommon length take no part. Rows that repeat an id are one point: it is no neighbour of itself,
+    and counts once, at its nearest. Fewer than k others: all of them. Empty table: no rows. Other columns are not read,
+    so they can't clash.
     """
     spark = df.sparkSession
     ship(spark)
-    src, d = usable(df, id_col, vector_col)
-    rows = Stored(src.distinct()).df
+    rows, d = usable(df, id_col, vector_col, "bigint")
     n = rows.count()
-    centroids = Centroids(kmeans(rows.select("vec"), max(d, 1), 1, max(1, math.ceil(math.sqrt(n) / 4)), ROUNDS, balance=0.2)[0] if n else np.zeros((0, 1), np.float32))
+    x = sampled(rows, n, sample) if n else np.zeros((0, 1), np.float32)
+    centroids = Centroids(kmeans(x, 1, max(1, min(math.ceil(math.sqrt(n) / 4), len(x) // 8)), ROUNDS, balance=0.2)[0], x)
     ratio = ratio_for(rows, centroids, k, recall, probes)
-    shared = spark.sparkContext.broadcast(centroids)  # grows with the square root of the table
+    shared = spark.sparkContext.broadcast(centroids)  # at most an eighth of the sample
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def filing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                i, c = shared.value.filed(matrix(b.column(1).slice(lo, 512)))
-                yield pa.RecordBatch.from_arrays([pa.array(c), b.column(0).slice(lo, 512).take(pa.array(i))], names=["c", "id"])
-
-    sizes = np.zeros(len(centroids.centres), np.int64)  # different ids of each list
-    for r in rows.mapInArrow(counted, "c bigint, id bigint").distinct().groupBy("c").count().collect():
-        sizes[r.c] = r["count"]  # a number for each list
-
+            first = np.unique(b.column(2).to_numpy(), return_index=True)[1]  # rows that repeat an id and a vector are one
+            for lo in range(0, len(first), 512):
+                at = pa.array(np.sort(first)[lo : lo + 512])
+                v = matrix(b.column(1).take(at))
+                i, c = shared.value.filed(v)
+                took = pa.array(i)
+                yield pa.RecordBatch.from_arrays([pa.array(c), *(b.column(j).take(at).take(took) for j in (0, 2)), lists(v[i])], names=["list", "id", "h", "vec"])
+
+    filed = Stored(rows.select("id", "vec", F.xxhash64("id", "vec").alias("h")).mapInArrow(filing, "list bigint, id bigint, h bigint, vec array<float>")).df
+    sizes, pieces = np.zeros(len(centroids.centres), np.int64), np.ones(len(centroids.centres), np.int64)
+    for r in filed.groupBy("list").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).collect():  # two numbers for each list
+        sizes[r.list], pieces[r.list] = r.ids, -(-r.n // most)
+    first = np.cumsum(pieces) - pieces
     enough = 8 * (k + 1)
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = b.column(0).to_numpy()
+            cell = first[c] + b.column(2).to_numpy() % pieces[c]
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.zeros(len(c), bool)), b.column(1), b.column(3)], names=["list", "query", "id", "vec"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 x, ids = matrix(b.column(1).slice(lo, 512)), b.column(0).slice(lo, 512)
-                i, c = g.filed(x)
                 qi, qc, _ = g.within(x, ratio)
-                most = np.zeros(len(x), np.int64)
-                np.maximum.at(most, qi, sizes[qc])
-                few = np.flatnonzero((np.bincount(qi, sizes[qc], len(x)) < min(enough, sizes.sum())) | (most <= k))
+                most_ = np.zeros(len(x), np.int64)
+                np.maximum.at(most_, qi, sizes[qc])
+                few = np.flatnonzero((np.bincount(qi, sizes[qc], len(x)) < min(enough, sizes.sum())) | (most_ <= k))
                 if len(few):  # lists too short for k: the nearest ones up to those that hold enough, of which one has k others itself, or all
                     near = g.far(x[few]).argsort(1, kind="stable")
                     before = np.concatenate([np.zeros((len(few), 1), np.int64), np.maximum.accumulate(sizes[near], 1)[:, :-1]], 1)
                     more = (np.cumsum(sizes[near], 1) - sizes[near] < enough) | (before <= k)
                     rest = ~np.isin(qi, few)
                     qi, qc = np.concatenate([qi[rest], np.repeat(few, more.sum(1))]), np.concatenate([qc[rest], near[more]])
-                at = np.concatenate([i, qi])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([c, qc])), pa.array(np.arange(len(at)) >= len(i)), ids.take(pa.array(at)), lists(x[at])], names=["list", "query", "id", "vec"])
+                per = pieces[qc]
+                at, cell = np.repeat(qi, per), np.repeat(first[qc], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.ones(len(at), bool)), ids.take(pa.array(at)), lists(x[at])], names=["list", "query", "id", "vec"])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A list's vectors come first; queries are held against them as they pass."""
@@ -206,9 +296,11 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
                 if not asks[lo]:
                     ids, own = np.concatenate([ids, names[lo:hi]]), np.concatenate([own, x[lo:hi]])
                     continue
+                centre = own.mean(0) if len(ids) else 0  # near vectors far from 0 would lose their distance in rounding
+                mine = own - centre
                 for s in range(lo, hi if len(ids) else lo, 512):
                     q = names[s : min(hi, s + 512)]
-                    far = distances(x[s : s + len(q)], own)
+                    far = distances(x[s : s + len(q)] - centre, mine)
                     far[q[:, None] == ids] = np.inf
                     near, far = best(*once(ids, far), k)
                     m = near.shape[1]
@@ -216,7 +308,9 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(q), pa.ListArray.from_arrays(ends, pa.array(near.reshape(-1))), pa.ListArray.from_arrays(ends, pa.array(np.sqrt(far).astype(np.float32).reshape(-1)))], names=["id", "near", "far"])
 
-    met = rows.mapInArrow(placed, "list bigint, query boolean, id bigint, vec array<float>").repartition("list").sortWithinPartitions("list", "query", "id")
+    made = "list bigint, query boolean, id bigint, vec array<float>"
+    chosen = rows if queries is None else rows.where(queries)
+    met = filed.mapInArrow(dealt, made).union(chosen.mapInArrow(asked, made)).repartition("list").sortWithinPartitions("list", "query", "id")
     parts = met.mapInArrow(searched, "id bigint, near array<bigint>, far array<float>")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,9 @@
 """Near-duplicate vectors by an inverted multi-index.
 
-Vectors are scaled to length 1 and cut in halves; each half has a codebook of its own, by k-means over the whole
-table, and the pairs of codewords are the grid's cells. The codebooks grow with the square root of the table, so
-cells stay small. A vector visits cells in the order of a bound on how far its near-duplicates must have strayed
+Vectors are scaled to length 1 and cut in halves; each half has a codebook of its own, by k-means over a bounded sample
+(``sample`` vectors, the whole table if it has no more), and the pairs of codewords are the grid's cells. The codebooks
+grow with the square root of the table, so that a cell has some 256 vectors; one of more than ``most`` is dealt into
+pieces, and each pair of its pieces is a task. A vector visits cells in the order of a bound on how far its near-duplicates must have strayed
 to lie there (the multi-sequence order: the next cell is always a neighbour in rank of one visited), and stops
 where the target recall is met: a near-duplicate differs by at most r = sqrt(2 - 2 * threshold), and the share of r
 that falls on the two lines that a cell's bound measures, from codeword to codeword, is taken from the data: the
@@ -22,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabweave.llm.components import connected_components
-from tabweave.llm.vectors import kmeans, lists, matrix, nearest, usable
+from tabweave.llm.vectors import kmeans, lists, matrix, nearest, sampled, usable
 from tabweave.session import Stored, ship
 
-THRESHOLD, RECALL, ROUNDS = 0.95, 0.99, 3
+THRESHOLD, RECALL, ROUNDS, SAMPLE, MOST = 0.95, 0.99, 6, 65_536, 16_384
 
 
 def margins(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,11 +101,11 @@ def cells_in_order(a: np.ndarray, b: np.ndarray, most: float) -> list[tuple[int,
     return out
 
 
-def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, sample: int = SAMPLE, most: int = MOST) -> DataFrame:
     """(id, duplicate_of) of each vector that has one with a smaller id in its group of near-duplicates.
 
     Groups are the connected components of pairs with a cosine of at least ``threshold``; ``duplicate_of`` is the
-    group's least id. Null ids, null vectors, vectors with null, NaN or infinite numbers, of an uncommon length,
+    group's least id. Ids may be of any type that can be ordered. Null ids, null vectors, vectors with null, NaN or infinite numbers, of an uncommon length,
     or of length 0 take no part. Equal vectors always meet. Rows that repeat an id and its vector are one; an id
     is never its own duplicate. Empty table: no rows. Other columns are not read, so they can't clash.
     """
@@ -121,15 +123,43 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), lists(x)], names=["id", "vec"])
 
     d += d % 2
-    all_ = Stored(rows.mapInArrow(scaled, "id bigint, vec array<float>"))
-    same = all_.df.select("id", F.xxhash64("vec").alias("h"), "vec").groupBy("h").agg(F.min("id").alias("first"), F.first("vec").alias("vec"))
-    one = Stored(same)
+    unit = Stored(rows.mapInArrow(scaled, T.StructType([rows.schema["id"], T.StructField("vec", T.ArrayType(T.FloatType()))]))).df
+    unit = unit.select("id", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"), "vec")
+    same = unit.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.first("vec").alias("vec"))
+    one = Stored(same.withColumn("h", F.monotonically_increasing_id()))  # written once, so numbers stay
     n = one.df.count()
-    books = kmeans(one.df.select("vec"), max(d, 2), 2, max(1, math.ceil(math.sqrt(n) / 4)), ROUNDS)
+    x = sampled(one.df, n, sample) if n else np.zeros((0, max(d, 2)), np.float32)
+    books = kmeans(x, 2, max(1, min(math.ceil(math.sqrt(n) / 16), len(x) // 8)), ROUNDS)
     shared = spark.sparkContext.broadcast((books, np.sqrt(shares(one.df.select("vec"), books))))
     k = books.shape[1]
     sure = (2 - 2 * threshold) * 1.001 + 1e-6
-    most = (2 - 2 * threshold) * -2 * math.log(max(1 - recall, 1e-12))
+    reach = (2 - 2 * threshold) * -2 * math.log(max(1 - recall, 1e-12))
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = shared.value[0]
+        for b in batches:
+            x = matrix(b.column(0))
+            half = x.shape[1] // 2
+            if len(x):
+                cells, size = np.unique(nearest(np.ascontiguousarray(x[:, :half]), first) * k + nearest(np.ascontiguousarray(x[:, half:]), second), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(size)], names=["cell", "n"])
+
+    sizes = one.df.select("vec").mapInArrow(home, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(f"n > {most}")
+    pieces = {r.cell: -(-r.n // most) for r in sizes.collect()}  # of overfull cells alone
+    wide = max(pieces.values(), default=1)
+
+    def spread(cells: np.ndarray, guests: np.ndarray, hs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, task) of each: overfull cells have a task for each pair of their pieces, a guest goes to those of a piece with itself."""
+        where = np.flatnonzero(np.isin(cells, list(pieces))) if pieces else np.zeros(0, np.int64)
+        rest = np.setdiff1d(np.arange(len(cells)), where)
+        at, task = [rest], [cells[rest] * wide * wide]
+        for r in where.tolist():
+            p = pieces[int(cells[r])]
+            j = np.arange(p)
+            i = j if guests[r] else np.full(p, int(hs[r]) % p)
+            at.append(np.full(p, r))
+            task.append((cells[r] * wide + np.minimum(i, j)) * wide + np.maximum(i, j))
+        return np.concatenate(at), np.concatenate(task)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (first, second), scale = shared.value
@@ -142,13 +172,14 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
                 at, cell, guest = [], [], []
                 for i in range(len(x)):
                     home = int(own1[i]) * k + int(own2[i])
-                    for c1, c2 in cells_in_order(s1[i], s2[i], most):
+                    for c1, c2 in cells_in_order(s1[i], s2[i], reach):
                         if (c := c1 * k + c2) >= home and m1[i, c1] ** 2 + m2[i, c2] ** 2 <= sure:
                             at.append(i)
                             cell.append(c)
                             guest.append(c != home)
-                take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(guest, pa.bool_()), b.column(0).slice(lo, 1024).take(take), lists(x[at])], names=["cell", "guest", "h", "vec"])
+                at, guest, hs = np.array(at, np.int64), np.array(guest, bool), b.column(0).slice(lo, 1024).to_numpy()
+                row, task = spread(np.array(cell, np.int64), guest, hs[at])
+                yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(guest[row]), pa.array(hs[at[row]]), lists(x[at[row]])], names=["cell", "guest", "h", "vec"])
 
     met = one.df.select("h", "vec").mapInArrow(visits, "cell bigint, guest boolean, h bigint, vec array<float>")
     met = met.repartition("cell").sortWithinPartitions("cell", "guest", "h")
@@ -193,5 +224,5 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     named = found.join(one.df.select(F.col("h").alias("node"), "first"), "node")
     keep = named.groupBy("component").agg(F.min("first").alias("keep"))
     keep = named.join(keep, "component").select(F.col("node").alias("h"), "keep")
-    ids = all_.df.select("id", F.xxhash64("vec").alias("h")).join(one.df.select("h", "first"), "h").join(keep, "h", "left").withColumn("keep", F.coalesce("keep", "first"))
+    ids = unit.select("id", "h1", "h2").join(one.df.select("h1", "h2", "h", "first"), ["h1", "h2"]).join(keep, "h", "left").withColumn("keep", F.coalesce("keep", "first"))
     return ids.where("id != keep").select(F.col("id").alias(id_col), F.col("keep").alias("duplicate_of")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +34,10 @@ def op3_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest others of every vector."""
+    """The ten nearest others, among all vectors, of each whose id is divisible by 50: the query set of a search."""
     from tabweave.llm.ann import nearest_neighbours
 
-    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), queries=F.col("id") % 50 == 0)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,15 +21,26 @@ def lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(np.ascontiguousarray(rows, np.float32).reshape(-1)))
 
 
-def usable(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(id, vec) of the rows with an id and a vector of finite numbers of the commonest length (of equals the longest), and that length."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("vec")).where("id is not null and size(vec) > 0")
+def usable(df: DataFrame, id_col: str, vector_col: str, id_type: str | None = None) -> tuple[DataFrame, int]:
+    """(id, vec) of the rows with an id and a vector of finite numbers of the commonest length (of equals the longest), and that length.
+
+    With ``id_type`` ids are cast, and those that can't be are none.
+    """
+    own = F.col(f"`{id_col}`")
+    rows = df.select((own.try_cast(id_type) if id_type else own).alias("id"), F.col(f"`{vector_col}`").cast("array<float>").alias("vec")).where("id is not null and size(vec) > 0")
     rows = rows.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     top = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     d = top[0] if top else 0
     return rows.where(F.size("vec") == d), d
 
 
+def sampled(rows: DataFrame, n: int, bound: int) -> np.ndarray:
+    """At most ``bound`` of the n vectors of ``rows``, all of them if there are no more; which ones is left to a hash of the row."""
+    if n > bound:
+        rows = rows.where(F.pmod(F.xxhash64("vec", F.monotonically_increasing_id()), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+    return matrix(rows.select("vec").limit(bound).toArrow()["vec"].combine_chunks())
+
+
 def nearest(x: np.ndarray, centres: np.ndarray, price: np.ndarray | None = None) -> np.ndarray:
     """Of each row the centre with the least squared distance, plus its price."""
     cost = (centres * centres).sum(1) if price is None else (centres * centres).sum(1) + price
@@ -39,47 +50,28 @@ def nearest(x: np.ndarray, centres: np.ndarray, price: np.ndarray | None = None)
     return out
 
 
-def kmeans(rows: DataFrame, dims: int, parts: int, k: int, rounds: int, balance: float = 0.0) -> np.ndarray:
-    """(parts, k, dims / parts) centres: each part of the vectors has a codebook of its own.
+def kmeans(x: np.ndarray, parts: int, k: int, rounds: int, balance: float = 0.0) -> np.ndarray:
+    """(parts, k, dims / parts) centres of a sample: each part of the vectors has a codebook of its own.
 
-    Lloyd's rounds over all rows, from the k of least hash; only sums by centre reach the driver. ``balance``
-    makes a centre dearer by that share of the mean squared distance for each time its mean size that it holds.
+    Lloyd's rounds from k vectors by lot. ``balance`` makes a centre dearer by that share of the mean squared distance
+    for each time its mean size that it holds.
     """
-    width = dims // parts
-    start = rows.select("vec", F.xxhash64("vec").alias("h")).distinct().orderBy("h").limit(k).collect()  # k rows: they grow with the square root of the table
-    if not start:
-        return np.zeros((parts, 0, width), np.float32)
-    first = np.array([r.vec for r in start], np.float32)
+    width = x.shape[1] // parts
+    rng = np.random.Generator(np.random.PCG64(1))
+    first = np.unique(x[rng.permutation(len(x))[:k]], axis=0)
     k = len(first)
-    centres = np.ascontiguousarray(first[:, : width * parts].reshape(k, parts, width).transpose(1, 0, 2))
-    price = np.zeros((parts, k), np.float32)
-    names = [f"s{j}" for j in range(width)]
-    spark = rows.sparkSession
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((centres, price))
-
-        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c, p = shared.value
-            total, count, far = np.zeros((parts * k, width)), np.zeros(parts * k, np.int64), np.zeros(parts * k)
-            for b in batches:
-                x = matrix(b.column(0))
-                for h in range(parts if len(x) else 0):
-                    mine = np.ascontiguousarray(x[:, h * width : (h + 1) * width])
-                    at = nearest(mine, c[h], p[h])
-                    np.add.at(total, h * k + at, mine)
-                    count += np.bincount(h * k + at, minlength=parts * k)
-                    far += np.bincount(h * k + at, ((mine - c[h][at]) ** 2).sum(1), parts * k)
-            hit = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(count[hit]), pa.array(far[hit]), *(pa.array(total[hit, j]) for j in range(width))], names=["c", "n", "far", *names])
-
-        got = rows.select("vec").mapInArrow(sums, "c bigint, n bigint, far double, " + ", ".join(f"{s} double" for s in names)).groupBy("c").agg(*(F.sum(s).alias(s) for s in ["n", "far", *names])).collect()
-        size, spread = np.zeros(parts * k), np.zeros(parts * k)
-        for r in got:
-            h, j = divmod(r.c, k)
-            centres[h, j] = np.array(r[3:], float) / r.n
-            size[r.c], spread[r.c] = r.n, r.far
-        size, spread = size.reshape(parts, k), spread.reshape(parts, k)
-        total = np.maximum(1, size.sum(1, keepdims=True))
-        price = (balance * spread.sum(1, keepdims=True) / total * (size * k / total - 1)).astype(np.float32)
-        centres = centres.copy()
+    centres = np.zeros((parts, k, width), np.float32)
+    for p in range(parts if k else 0):
+        mine = np.ascontiguousarray(x[:, p * width : (p + 1) * width])
+        c, price = first[:, p * width : (p + 1) * width].astype(np.float32), np.zeros(k, np.float32)
+        for _ in range(rounds):
+            at = nearest(mine, c, price)
+            size, order = np.bincount(at, minlength=k), np.argsort(at, kind="stable")
+            some = np.flatnonzero(size)
+            sums = np.add.reduceat(mine[order].astype(float), (np.cumsum(size) - size)[some], axis=0)
+            spread = float(((mine - c[at]) ** 2).sum()) / len(mine)
+            c = c.copy()
+            c[some] = sums / size[some, None]
+            price = (balance * spread * (size * k / len(mine) - 1)).astype(np.float32)
+        centres[p] = c
     return centres
