@@ -36,9 +36,9 @@ def normalize_value(t: Tables) -> DataFrame:
     return t.events.select("event_id", X.normalize_value(raw).alias("value"))
 
 
-@query(f"SELECT page_id, {sql_name('url')} AS name, {sql_name('substring(html, 80, 60)')} AS other FROM pages")
+@query(f"SELECT page_id, {sql_name('url')} AS name, {sql_name('html')} AS other FROM pages")
 def normalize_name(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", X.normalize_name(F.col("url")).alias("name"), X.normalize_name(F.substring("html", 80, 60)).alias("other"))
+    return t.pages.select("page_id", X.normalize_name(F.col("url")).alias("name"), X.normalize_name(F.col("html")).alias("other"))
 
 
 @query(f"""SELECT doc_id, {sql_normalized("'  ' || upper(source) || ' – ' || lang || ' '")} AS citation FROM documents""")
