@@ -7,11 +7,11 @@ collapsed first, by 128 bits of hash. Bands of the signature are buckets; each b
 different one in each bucket, to the others, so a bucket of n texts gives n - 1 candidates. Candidates are verified on
 the whole signature.
 
-Where a centre turns a member down, its bucket mixes groups, and members that are alike may have had no edge in it. A
-mixed bucket of up to ``block`` texts is compared within, pair by pair but for what is connected already. A larger one
-is split again: its members meet in buckets of this band and one other, with a new centre in each, until all mixed ones
-are small. So a bucket of n texts costs at most n * ``block`` comparisons a round, never n * n. Verified edges are
-joined to connected components, and of each component the document with the least id stays.
+Where a centre turns a member down, its bucket mixes groups, and members that are alike may have had no edge in it. So
+the verified edges are joined to connected components, and a mixed bucket whose members aren't all in one component is
+compared within, every pair of texts of two components, whatever its size: up to ``block`` texts in one place, a larger
+one in pieces, each with each. Two texts that share a bucket and are alike are always connected. Only a bucket of many
+components is quadratic. Of each component of all edges the document with the least id stays.
 """
 
 from __future__ import annotations
@@ -130,67 +130,109 @@ def _stars(rows: DataFrame) -> DataFrame:
     return rows.join(own.withColumn("c", F.col("c").bitwiseXOR(F.col("b"))), "b").where("n != c").select("b", "c", "n", "m")
 
 
-def joined_pairs(names: np.ndarray, sigs: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Edges that connect all members of which a chain of similar pairs leads from one to the other."""
-    n, out = len(names), []
-    group = np.arange(n)
-    for i in range(n - 1):
-        rest = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
-        if len(rest):
-            for j in rest[similarity(sigs[i : i + 1], sigs[rest]) >= threshold]:
-                if group[j] != group[i]:
-                    group[group == group[j]] = group[i]
-                    out.append((int(names[i]), int(names[j])))
+def joined_pairs(groups: np.ndarray, sigs: np.ndarray, threshold: float, split: int = 0) -> list[tuple[int, int]]:
+    """Edges that connect all groups of which similar pairs of members lead from one to the other.
+
+    With ``split``, only pairs of a row before it and one from it on are compared. Pairs of one group never are.
+    """
+    bins, tile, out, up = sigs.shape[1], 64, [], {}
+    enough = np.flatnonzero((np.arange(bins + 1) / bins - 1 / 256) / (1 - 1 / 256) >= threshold)
+    if not len(enough):
+        return out
+    first = split or len(groups)
+    order = np.concatenate([np.argsort(groups[:first], kind="stable"), first + np.argsort(groups[first:], kind="stable")])
+    groups, sigs = groups[order], sigs[order]
+    across = np.ascontiguousarray(sigs.T)
+
+    def root(g: int) -> int:
+        while up.setdefault(g, g) != g:
+            up[g] = g = up[up[g]]
+        return g
+
+    for lo in range(0, first, tile):
+        hi = min(first, lo + tile)
+        there = np.arange(split or lo, len(groups))
+        if groups[lo] == groups[hi - 1]:
+            there = there[groups[there] != groups[lo]]
+        for part in range(0, len(there), BLOCK):
+            cols = there[part : part + BLOCK]
+            own, other = across[:, lo:hi], across[:, cols[0] : cols[-1] + 1] if cols[-1] - cols[0] + 1 == len(cols) else across[:, cols]
+            same, equal = np.zeros((hi - lo, len(cols)), np.uint16), np.empty((hi - lo, len(cols)), bool)
+            for at in range(0, bins, 255):  # counts that fit a byte
+                count = np.zeros(same.shape, np.uint8)
+                for k in range(at, min(bins, at + 255)):
+                    np.equal(own[k][:, None], other[k], out=equal)
+                    count += equal.view(np.uint8)
+                same += count
+            x, y = np.nonzero((same >= enough[0]) & (groups[lo:hi, None] != groups[cols]))
+            for g, h in np.unique(np.stack([groups[lo + x], groups[cols[y]]], axis=1), axis=0).tolist():
+                if root(g) != root(h):
+                    up[root(g)] = root(h)
+                    out.append((g, h))
     return out
 
 
-def _within(rows: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """Edges (u, v) among all members of the small mixed buckets (b, n)."""
-    met = rows.join(sigs, "n").select("b", "n", "sig").repartition("b").sortWithinPartitions("b", "n")
+def _joined(met: DataFrame, threshold: float) -> DataFrame:
+    """Edges (u, v) between the groups in each room (b, s, g, sig); if a room has both sides s, those of one with the other."""
+    met = met.repartition("b").sortWithinPartitions("b", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, blobs = None, [], []
+        key, sides, groups, blobs = None, [], [], []
 
         def out() -> Iterator[pa.RecordBatch]:
-            got = joined_pairs(np.array(names, np.int64), np.frombuffer(b"".join(blobs), np.uint8).reshape(len(names), -1), threshold) if len(names) > 1 else []
+            got = joined_pairs(np.array(groups, np.int64), np.frombuffer(b"".join(blobs), np.uint8).reshape(len(groups), -1), threshold, sides.count(0) if sides[-1] else 0) if len(groups) > 1 else []
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in got], pa.int64()), pa.array([v for _, v in got], pa.int64())], names=["u", "v"])
 
         for b in batches:
-            for now, n, sig in zip(*(c.to_pylist() for c in b.columns)):
+            for now, s, g, sig in zip(*(c.to_pylist() for c in b.columns)):
                 if now != key:
                     yield from out()
-                    key, names, blobs = now, [], []
-                names.append(n)
+                    key, sides, groups, blobs = now, [], [], []
+                sides.append(s)
+                groups.append(g)
                 blobs.append(sig)
         yield from out()
 
     return met.mapInArrow(run, "u bigint, v bigint")
 
 
+def _within(rows: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """Edges (u, v) between the groups of the small mixed buckets (b, n, g), each in one room."""
+    return _joined(rows.join(sigs, "n").select("b", F.lit(0).alias("s"), "g", "sig"), threshold)
+
+
+def _across(rows: DataFrame, sigs: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Edges (u, v) between the groups of the large mixed buckets (b, n, g, m): pieces of some ``block`` texts, a room for each two.
+
+    A piece by itself has a room of its own. Rooms are named by what makes them, so none is shared.
+    """
+    cut = rows.join(sigs, "n").withColumn("p", F.ceil(F.col("m") / block)).withColumn("a", F.expr("pmod(xxhash64(n), p)"))
+    cut = cut.select("b", "a", "g", "sig", F.explode(F.expr("sequence(0L, p - 1)")).alias("o"))
+    room = F.struct("b", F.least("a", "o").alias("x"), F.greatest("a", "o").alias("y"))
+    return _joined(cut.select(room.alias("b"), (F.col("a") > F.col("o")).cast("int").alias("s"), "g", "sig"), threshold)
+
+
 def _edges(texts: DataFrame, threshold: float, block: int) -> tuple[DataFrame, list[Stored]]:
-    """(u, v) of verified edges among texts (n, bands, sig), and the tables that they are read from."""
-    sigs, parts, kept = texts.select("n", "sig"), [], []
-    rows = texts.select("n", F.explode("bands").alias("b"))
-    while True:
-        stars = Stored(_stars(rows))
-        told = Stored(_verified(stars.df.select("c", "n").distinct(), sigs, threshold))
-        kept += [stars, told]
-        parts.append(told.df.where("ok").select(F.col("c").alias("u"), F.col("n").alias("v")))
-        unlike = stars.df.join(told.df.where("not ok").select("c", "n"), ["c", "n"], "left_semi").select("b").distinct()
-        members = stars.df.join(unlike, "b", "left_semi")
-        mixed = Stored(members.select("b", "n", "m").union(members.select("b", F.col("c").alias("n"), "m").distinct()))
-        kept.append(mixed)
-        parts.append(_within(mixed.df.where(f"m <= {block}"), sigs, threshold))
-        large = mixed.df.where(f"m > {block}").select("b", "n")
-        if large.isEmpty():
-            break
-        rows = large.join(texts.select("n", "bands"), "n").select("n", "b", F.explode("bands").alias("o")).where("o != b")
-        rows = rows.select("n", F.xxhash64("b", "o").alias("b")).distinct()
+    """(u, v) that connect what verified edges among texts (n, bands, sig) connect, and the tables that they are read from."""
+    sigs = texts.select("n", "sig")
+    stars = Stored(_stars(texts.select("n", F.explode("bands").alias("b"))))
+    told = Stored(_verified(stars.df.select("c", "n").distinct(), sigs, threshold))
+    known = Stored(connected_components(told.df.where("ok").select(F.col("c").alias("u"), F.col("n").alias("v"))))
+    unlike = stars.df.join(told.df.where("not ok").select("c", "n"), ["c", "n"], "left_semi").select("b").distinct()
+    members = stars.df.join(unlike, "b", "left_semi")
+    members = members.select("b", "n", "m").union(members.select("b", F.col("c").alias("n"), "m").distinct())
+    members = members.join(known.df.withColumnRenamed("node", "n"), "n", "left").select("b", "n", F.coalesce("component", "n").alias("g"), "m")
+    several = members.groupBy("b").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x != y").select("b")
+    mixed = Stored(members.join(several, "b", "left_semi"))
+    parts = [known.df.select(F.col("node").alias("u"), F.col("component").alias("v")), _within(mixed.df.where(f"m <= {block}"), sigs, threshold)]
+    large = mixed.df.where(f"m > {block}")
+    if not large.isEmpty():
+        parts.append(_across(large, sigs, threshold, block))
     out = parts[0]
     for x in parts[1:]:
         out = out.union(x)
-    return out, kept
+    return out, [stars, told, mixed, known]
 
 
 def _decided(rows: Rows, id_col: str, text_col: str, threshold: float, block: int) -> DataFrame:

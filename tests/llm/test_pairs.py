@@ -103,6 +103,37 @@ def test_a_large_mixed_bucket_costs_few_comparisons(spark, monkeypatch):
     assert sum(tried) < 100 * len(rows), tried  # all pairs would be 1000 a row
 
 
+def crowd(spark, pairs, shared, rng):
+    """Texts alike two by two, which meet in ``shared`` buckets of all and nowhere else."""
+    sigs = rng.integers(0, 255, (2 * pairs, 256), dtype=np.uint8)
+    sigs[1::2] = np.where(rng.random((pairs, 256)) < 0.65, sigs[::2], sigs[1::2])
+    bands = rng.integers(1 << 32, 1 << 62, (2 * pairs, 64))
+    bands[:, :shared] = np.arange(shared) + 7
+    rows = [(k, [int(x) for x in b], bytearray(x.tobytes())) for k, (b, x) in enumerate(zip(bands, sigs))]
+    return spark.createDataFrame(rows, "n bigint, bands array<bigint>, sig binary")
+
+
+def test_links_of_large_mixed_buckets_are_all_found(spark):
+    for shared, block in ((1, 10), (2, 70)):
+        edges, kept = minhash._edges(crowd(spark, 100, shared, np.random.default_rng(12)), 0.5, block)
+        got = {r.node: r.component for r in connected_components(edges).collect()}
+        assert got == {k: k // 2 * 2 for k in range(200)}, (shared, block)
+
+
+def test_joined_pairs_by_brute_force():
+    rng = np.random.default_rng(13)
+    sigs = rng.integers(0, 255, (300, 256), dtype=np.uint8)
+    sigs[:2] = 3  # all bins alike
+    for k in rng.integers(2, 300, 150):
+        sigs[k] = np.where(rng.random(256) < 0.6, sigs[rng.integers(0, 300)], sigs[k])
+    for groups in (rng.permutation(300), rng.integers(0, 40, 300), np.where(rng.random(300) < 0.8, 7, np.arange(300) + 10)):
+        for split in (0, 1, 90, 299):
+            i, j = np.nonzero(np.triu(minhash.similarity(sigs[:, None].reshape(300, 1, 256).repeat(300, 1).reshape(-1, 256), np.tile(sigs, (300, 1))).reshape(300, 300) >= 0.5, 1))
+            use = (groups[i] != groups[j]) & ((i < split) & (j >= split) if split else True)
+            want = components(zip(groups[i[use]].tolist(), groups[j[use]].tolist()))
+            assert components(minhash.joined_pairs(groups, sigs, 0.5, split)) == want
+
+
 def brute(rows, least):
     """Texts without the words whose window of ``least`` stands earlier, in the order of ids."""
     seen, out = {}, {}
