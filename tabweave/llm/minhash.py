@@ -3,9 +3,9 @@
 A text's shingles are runs of ``shingle`` words, without case and punctuation. Each shingle is hashed once; the
 hash's first bits choose a bin and the rest compete for its minimum (one permutation). Empty bins borrow from a
 full one that a universal hash of the bin and the attempt chooses (optimal densification). Equal texts are
-collapsed first, by 128 bits of hash. Bands of the signature are buckets; each bucket gives edges from one member, a
-different one in each bucket, to the others, so a bucket of n texts gives n - 1 candidates. Candidates are verified on
-the whole signature.
+collapsed first, by 128 bits of hash. Bands of the signature are buckets; each bucket gives edges from its member with
+the least number to the others, so a bucket of n texts gives n - 1 candidates, and k texts that share many buckets give
+about k, not a star for each bucket. Candidates are verified on the whole signature.
 
 Where a centre turns a member down, its bucket mixes groups, and members that are alike may have had no edge in it. So
 the verified edges are joined to connected components, and a mixed bucket whose members aren't all in one component is
@@ -123,11 +123,12 @@ def _verified(edges: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
 def _stars(rows: DataFrame) -> DataFrame:
     """(b, c, n, m) of the members of each bucket (b, n) but its centre c, with the bucket's size m.
 
-    The centre has the least number once all are scrambled by the bucket's own bits. It is found by an aggregate that
-    starts before the exchange, and joined to the members, so a bucket of any size is no task of its own.
+    The centre has the least number, so texts that meet in many buckets have one centre there, and a pair is a candidate
+    once, not with each of them. It is found by an aggregate that starts before the exchange, and joined to the members,
+    so a bucket of any size is no task of its own.
     """
-    own = rows.groupBy("b").agg(F.min(F.col("n").bitwiseXOR(F.col("b"))).alias("c"), F.count("*").alias("m")).where("m > 1")
-    return rows.join(own.withColumn("c", F.col("c").bitwiseXOR(F.col("b"))), "b").where("n != c").select("b", "c", "n", "m")
+    own = rows.groupBy("b").agg(F.min("n").alias("c"), F.count("*").alias("m")).where("m > 1")
+    return rows.join(own, "b").where("n != c").select("b", "c", "n", "m")
 
 
 def joined_pairs(groups: np.ndarray, sigs: np.ndarray, threshold: float, split: int = 0) -> list[tuple[int, int]]:
