@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +24,7 @@ Table = tuple[int, list[str], list[list[str | None]]]
 Reader = Callable[[bytes, Sequence[int] | None, Sequence[str], dict | None], Iterable[Table]]
 READERS: dict[str, Reader] = {}
 RESULT = "path string, table_idx int, page int, pos int, names array<string>, vals array<string>, error string"
+ARROW = pa.schema([("path", pa.string()), ("table_idx", pa.int32()), ("page", pa.int32()), ("pos", pa.int32()), ("names", pa.list_(pa.string())), ("vals", pa.list_(pa.string())), ("error", pa.string())])
 
 
 def reader(name: str, needs: str | None = None) -> Callable[[Reader], Reader]:
@@ -141,18 +142,42 @@ def read_tables(files: DataFrame, read: Reader, hints: Sequence[str] = (), mappi
             else:
                 found = list(read(content, pages, hints, None))
             for t, (page, names, rows) in enumerate(found):
+                page, names = _whole(page), [None if n is None else str(n) for n in names]
                 for pos, r in enumerate(rows):
                     yield path, t, page, pos, names, [None if v is None else str(v) for v in r], None
         except Exception as e:  # noqa: BLE001 - one document's failure is its own result
             yield path, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, content, pages in zip(b.path, b.content, b.pages):
-                out = list(one(path, bytes(content), None if pages is None else list(pages)))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"table_idx": "Int32", "page": "Int32", "pos": "Int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed(row for b in batches for path, content, pages in zip(*b.columns) for row in one(path.as_py(), content.as_py(), pages.as_py()))
 
-    return files.select("path", "content", "pages").mapInPandas(run, RESULT)
+    return files.select("path", "content", "pages").mapInArrow(run, RESULT)
+
+
+def _whole(page) -> int | None:
+    """A page's number; what isn't whole or doesn't fit an integer is an error of its document."""
+    n = None if page is None else int(page)
+    if n is not None and (isinstance(page, float) and n != page or not -(2**31) <= n < 2**31):
+        raise ValueError(f"not a page: {page}")
+    return n
+
+
+def packed(rows: Iterable[tuple], most: int = 8192, characters: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Result rows in Arrow batches, of many small documents or of part of a long one: a batch costs far more than a row."""
+    out: list[tuple] = []
+    held = 0
+    for row in rows:
+        out.append(row)
+        held += sum(len(v) for v in row[5] or () if v)
+        if len(out) >= most or held >= characters:
+            yield _batch(out)
+            out, held = [], 0
+    if out:
+        yield _batch(out)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
 
 
 def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

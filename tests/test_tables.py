@@ -215,6 +215,17 @@ def test_reading_documents(spark, tmp_path):
     assert documents.page_batches([1, 2, 3], 2) == [[1, 2], [3]]
 
 
+def test_documents_share_arrow_batches(spark):
+    rows = [("d", 0, 1, k, ["a"], ["x" * 10], None) for k in range(20_000)]
+    assert [b.num_rows for b in documents.packed(rows)] == [8192, 8192, 3616]
+    assert [b.num_rows for b in documents.packed(rows[:5], characters=20)] == [2, 2, 1] and not list(documents.packed([]))
+    pages = [json.dumps([{"page": k, "rows": [["Name", 7], ["a", None], [1, "b"]]}, {"page": k, "rows": []}]).encode() for k in (1, 2, 3.5, 2**31)]
+    files = spark.createDataFrame([(f"d{k}", p and bytearray(p), None) for k, p in enumerate([*pages, None])], "path string, content binary, pages array<int>")
+    got = documents.read_tables(files, documents.READERS["json"], ["name"]).collect()
+    assert sorted((r.path, r.table_idx, r.page, r.pos, *r.names, *r.vals) for r in got if not r.error) == [(d, 0, p, k, "Name", "7", *v) for d, p in (("d0", 1), ("d1", 2)) for k, v in enumerate([("a", None), ("1", "b")])]
+    assert sorted(r.path for r in got if r.error) == ["d2", "d3", "d4"]
+
+
 def test_streaming_takes_each_file_once(spark, tmp_path):
     a = resultset(tmp_path / "a", {"p": doc(table({"x": "1"}))})
     seen = []
