@@ -15,14 +15,17 @@ from tabweave.functions.coerce import infer_type
 def shared_values(rows: DataFrame, table: Sequence[str]) -> DataFrame:
     """(table, rows_in_shared_groups, rows_with_shared_values) over groups of rows with one ``row_`` in a table.
 
-    A row counts in the second if it has a value in a column that another row of its group has there too.
+    A row counts in the second if it has a value in a column that another row of its group has there too. Values of
+    groups are sorted once, so that equal ones lie together; nothing is joined back.
     """
     group = [*table, "row_"]
-    all_ = rows.where("row_ is not null").withColumn("__n", F.count("*").over(Window.partitionBy(*group))).where("__n > 1")
-    one = all_.select(*group, "pos", F.explode("cells").alias("c")).select(*group, "pos", F.col("c.name").alias("name"), F.explode("c.vals.value").alias("v")).withColumn("v", X.strip(F.col("v"))).where("v != ''").distinct()
-    hit = one.withColumn("k", F.count("*").over(Window.partitionBy(*group, "name", "v"))).groupBy(*group, "pos").agg((F.max("k") > 1).alias("shared"))
-    full = all_.select(*group, "pos").join(hit, [*group, "pos"], "left")
-    return full.groupBy(*table).agg(F.count("*").alias("rows_in_shared_groups"), F.count_if(F.coalesce("shared", F.lit(False))).alias("rows_with_shared_values"))
+    some = rows.where("row_ is not null").select(*group, "pos", "cells").withColumn("__n", F.count("*").over(Window.partitionBy(*group))).where("__n > 1")
+    one = some.select(*group, "pos", F.explode_outer("cells").alias("c")).select(*group, "pos", F.col("c.name").alias("name"), F.explode_outer("c.vals.value").alias("v"))
+    one = one.withColumn("v", F.nullif(X.strip(F.col("v")), F.lit("")))
+    w = Window.partitionBy(*group, "name", "v").orderBy("pos")
+    beside = [F.coalesce(f("pos").over(w) != F.col("pos"), F.lit(False)) for f in (F.lag, F.lead)]  # one at least of a row's equal values lies beside another row's, if there is any
+    each = one.withColumn("shared", F.col("v").isNotNull() & (beside[0] | beside[1])).groupBy(*group, "pos").agg(F.max("shared").alias("shared"))
+    return each.groupBy(*table).agg(F.count("*").alias("rows_in_shared_groups"), F.count_if("shared").alias("rows_with_shared_values"))
 
 
 def percent(part, whole):

@@ -9,6 +9,7 @@ from tabweave.functions import cells as C
 from tabweave.functions.coerce import coerce, infer_type
 from tabweave.operators import dedupe, post, stats, validate
 from tabweave.plans.registry import Tables, query
+from tabweave.session import spread
 
 
 @query("SELECT event_id FROM events WHERE event_type IN ('click', 'view')")
@@ -90,7 +91,7 @@ p AS (SELECT paper, count(*) AS tables, any_value(fragments) AS fragments, sum(n
 def _lines(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     w = Window.partitionBy("l_orderkey", "l_linestatus").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax")
     cells = C.from_columns(supp=F.col("l_suppkey"), tax=F.col("l_tax"))
-    rows = t.lineitem.withColumn("pos", F.row_number().over(w)).select(F.col("l_orderkey").alias("paper"), F.col("l_linestatus").alias("table_idx"), F.col("l_returnflag").alias("fragment_idx"), "pos", F.col("l_linenumber").alias("row_"), F.col("l_quantity").cast("int").alias("agreement_level_"), cells.alias("cells"))
+    rows = spread(t.lineitem, "l_orderkey").withColumn("pos", F.row_number().over(w)).select(F.col("l_orderkey").alias("paper"), F.col("l_linestatus").alias("table_idx"), F.col("l_returnflag").alias("fragment_idx"), "pos", F.col("l_linenumber").alias("row_"), F.col("l_quantity").cast("int").alias("agreement_level_"), cells.alias("cells"))
     fragments = rows.select("paper", "table_idx", "fragment_idx").distinct()
     return rows.select("paper").distinct(), rows.select("paper", "table_idx").distinct(), fragments, rows
 

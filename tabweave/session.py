@@ -40,6 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def spread(df: DataFrame, *keys: str, size: int = 4 << 20) -> DataFrame:
+    """``df`` dealt out by ``keys`` in pieces of about ``size`` bytes of the files it is read from, so that a task's memory doesn't grow with the input.
+
+    The session's own number of partitions is the least.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    held = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // size)), *keys)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())

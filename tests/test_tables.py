@@ -12,6 +12,7 @@ from tabweave.functions import cells as C
 from tabweave.operators import align, clean, dedupe, merge, shape, stats, validate, viewer
 from tabweave.plans.merging import merge_directories
 from tabweave.plans.settings import MergeSettings
+from tabweave.session import spread
 from tabweave.sources import documents, sinks, tables
 from tabweave.streaming.ingest import ingest
 
@@ -215,6 +216,29 @@ def test_reading_documents(spark, tmp_path):
     assert documents.page_batches([1, 2, 3], 2) == [[1, 2], [3]]
 
 
+def test_shared_values_equal_a_loop(spark):
+    rng = random.Random(8)
+    value = lambda: rng.choice(["a", " a ", "b", "c", "", " ", None])
+    rows = [(rng.choice(["t", "u", None]), k, rng.choice([0, 1, 2, None]), [(n, "list", [(value(), 1) for _ in range(rng.randint(0, 3))]) for n in rng.sample("xyz", rng.randint(0, 2))]) for k in range(60)]
+    df = spark.createDataFrame(rows, f"t string, pos int, row_ int, cells {C.CELLS}")
+    of = {k: {(n, v.strip()) for n, _, vals in cells for v, _ in vals if v and v.strip()} for _, k, _, cells in rows}
+    want = {}
+    for t, k, g, _ in rows:
+        others = [j for u, j, h, _ in rows if (u, h) == (t, g) and j != k and g is not None]
+        n, hit = want.get(t, (0, 0))
+        want[t] = n + bool(others), hit + any(of[k] & of[j] for j in others)
+    got = stats.shared_values(df, ["t"])
+    assert {r.t: (r.rows_in_shared_groups, r.rows_with_shared_values) for r in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_pieces_follow_the_input(spark, tmp_path):
+    spark.range(0, 400_000, 1, 1).select("id", F.xxhash64("id").alias("x")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert spread(df, "id", size=1 << 18).rdd.getNumPartitions() >= 12
+    assert spread(df.limit(5), "id", size=1 << 40).rdd.getNumPartitions() == 4
+
+
 def test_documents_share_arrow_batches(spark):
     rows = [("d", 0, 1, k, ["a"], ["x" * 10], None) for k in range(20_000)]
     assert [b.num_rows for b in documents.packed(rows)] == [8192, 8192, 3616]
