@@ -29,6 +29,8 @@ def _char(m: re.Match) -> str:
 
 
 def normalize_str(s: str) -> str:
+    if s.isascii() and "(cid:" not in s:
+        return " ".join(_CONTROLS.sub("", s).split())
     s = _CONTROLS.sub("", unicodedata.normalize("NFC", s))
     return " ".join(_DASHES.sub("-", _CID.sub(_char, s) if "(cid:" in s else s).split())
 
@@ -50,6 +52,12 @@ def each(col: pa.Array, f: Callable[[str], str | None]) -> pa.Array:
     return pa.array([f(x) for x in d.dictionary.to_pylist()], pa.string()).take(d.indices)
 
 
+def _coded(col: pa.Array) -> tuple[list[int], list[str | None]]:
+    """A code for each string, and the strings by their codes; null is the last."""
+    d = (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).dictionary_encode()
+    return pc.fill_null(d.indices, len(d.dictionary)).to_pylist(), [*d.dictionary.to_pylist(), None]
+
+
 class Cells:
     """A column of cells taken apart into flat arrays."""
 
@@ -97,14 +105,24 @@ def compared(cells: Column) -> Column:
     def run(col: pa.Array) -> pa.Array:
         c = Cells(col)
         value = each(c.value, normalize_value)
-        plain, level, val_at = each(value, X.transliterated).to_pylist(), c.level.to_pylist(), c.val_at.tolist()
-        cells_ = [repr((n, k, list(zip(plain[s:e], level[s:e])))) for n, k, s, e in zip(c.name.to_pylist(), c.kind.to_pylist(), val_at, val_at[1:])]
-        content = [hashlib.md5("\n".join(sorted(cells_[s:e])).encode("utf-8", "surrogatepass")).digest() for s, e in zip(c.at.tolist(), c.at[1:].tolist())]
+        (name, names), (kind, kinds), (plain, plains) = map(_coded, (c.name, c.kind, each(value, X.transliterated)))
+        items, at, val_at = list(zip(plain, c.level.to_pylist())), c.at.tolist(), c.val_at.tolist()
+        known: dict[tuple, int] = {}  # cells by their codes, each written out once in a batch; rows likewise
+        ids = [known.setdefault((n, k, *items[s:e]), len(known)) for n, k, s, e in zip(name, kind, val_at, val_at[1:])]
+        texts = [repr((names[n], kinds[k], [(plains[v], level) for v, level in vals])) for n, k, *vals in known]
+        digests: dict[tuple, bytes] = {}
+        content = []
+        for s, e in zip(at, at[1:]):
+            row = tuple(ids[s:e])
+            if row not in digests:
+                digests[row] = hashlib.md5("\n".join(sorted(texts[i] for i in row)).encode("utf-8", "surrogatepass")).digest()
+            content.append(digests[row])
         full = np.concatenate([[0], np.cumsum(pc.fill_null(pc.not_equal(value, ""), False).to_numpy(zero_copy_only=False))])
         ends = c.val_at[c.at]
         return pa.StructArray.from_arrays([c.built(value=value), pa.array(content, pa.binary()), pa.array(full[ends[1:]] == full[ends[:-1]])], ["cells", "content", "empty"])
 
-    return run(cells)
+    # Called deterministic, it would be run once more for each filter by one of its fields, below the projection that has it.
+    return run.asNondeterministic()(cells)
 
 
 def empty(cells: Column) -> Column:

@@ -34,6 +34,8 @@ def to_ascii(text: str) -> str:
 
 def transliterated(text: str) -> str:
     """Latin text in ASCII; other scripts stay as they are, without their marks."""
+    if text.isascii():
+        return text
     return "".join(c for c in unicodedata.normalize("NFKD", text.translate(LETTERS)) if not unicodedata.combining(c))
 
 

@@ -93,6 +93,17 @@ def test_merge_equals_a_fold(spark):
     assert got == {c: fold(case) for c, case in enumerate(cases) if any(case)}
 
 
+def test_rows_are_compared_once(spark):
+    rows = spark.createDataFrame([("p", s, 0, 0, 1, k, v, "X") for s, vs in enumerate([["Ábc", "", "b"], [" ABC ", None, "b"]]) for k, v in enumerate(vs)], "paper string, source_ord int, table_idx int, fragment_idx int, page int, pos int, a string, b string")
+    rows = rows.select("*", C.from_columns("a", "b").alias("cells")).withColumn("agreement_level_", F.lit(1)).drop("a", "b")
+    fragments = rows.select("paper", "source_ord", "table_idx", "fragment_idx", "page").distinct()
+    files = fragments.select("paper", "source_ord", F.col("source_ord").cast("string").alias("uuid"), F.lit(0).alias("page_offset"))
+    _, out = merge.merge_fragments(files, fragments, rows)
+    got = sorted((r.row_, r.agreement_level_, tuple(v.value for v in r.cells[0].vals)) for r in out.collect())
+    assert got == [(0, 2, ("ábc",)), (1, 1, ()), (1, 1, ("",)), (2, 2, ("b",))]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_cleaning_settings(spark, tmp_path):
     rows = [{"0": "Table 1. Species", "1": ""}, {"0": "Name", "1": "Count"}, {"0": "1. apis", "1": "10"}, {"0": "2. bombus", "1": None}, {"0": "", "1": "no data"}, {"0": "3. vespa", "1": "7.5"}]
     a = resultset(tmp_path / "a", {"p": doc(table(*rows))}, "ua")
