@@ -87,8 +87,10 @@ def column_agreement(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
 
 def merge_pairwise(df: DataFrame, cluster: Sequence[str], content: str = "content", source: str = "source_ord") -> DataFrame:
     """Two at a time, as rows merge when values keep their own agreement: a merged row equals no plain one again."""
-    n = F.row_number().over(Window.partitionBy(*cluster, "row_", content).orderBy(source))
-    return df.withColumn("pair", F.floor((n - 1) / 2)).groupBy(*cluster, "row_", content, "pair").agg(F.count("*").alias("agreement_level_"), F.min(source).alias("first_src"))
+    w = Window.partitionBy(*cluster, "row_", content).orderBy(source)
+    df = df.select(*cluster, "row_", content, source, F.row_number().over(w).alias("__n"), F.lead(F.lit(1)).over(w).alias("__more"), F.lead(source).over(w).alias("__next")).where("__n % 2 = 1")
+    level = F.when(F.col("__more").isNull(), 1).otherwise(2).cast("bigint")
+    return df.select(*cluster, "row_", content, F.floor((F.col("__n") - 1) / 2).alias("pair"), level.alias("agreement_level_"), F.least(source, "__next").alias("first_src"))
 
 
 def resolve_papers(df: DataFrame, aliases: DataFrame, paper: str = "paper") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabweave.functions import cells as C
 from tabweave.operators import merge, viewer
 from tabweave.plans.registry import Tables, query
+from tabweave.session import spread
 from tabweave.sources import documents
 from tabweave.sources.tables import paper_matches
 
@@ -21,7 +22,7 @@ READER = "CASE s_nationkey % 5 WHEN 0 THEN 'pdfplumber' WHEN 1 THEN 'camelot' WH
 def line_sources(t: Tables) -> DataFrame:
     """Lines with one order and number as the readings of one row by different sources."""
     w = Window.partitionBy(*KEY).orderBy(*ORDER)
-    df = t.lineitem.select(*KEY, *ORDER)
+    df = spread(t.lineitem.select(*KEY, *ORDER), *KEY)
     return df.withColumn("source_ord", F.row_number().over(w) - 1).withColumn("uuid", F.col("l_suppkey").cast("string")).withColumn("agreement_level_", F.lit(1)).withColumnRenamed("l_linenumber", "row_")
 
 

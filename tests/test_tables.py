@@ -243,6 +243,13 @@ def test_shared_values_equal_a_loop(spark):
     assert "Join" not in got._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_pairs_need_no_aggregate(spark):
+    df = spark.createDataFrame([(c, 0, v, s) for c in "ab" for v, n in (("x", 5), ("y", 2), ("z", 1)) for s in range(n)], "c string, row_ int, content string, source_ord int")
+    got = merge.merge_pairwise(df, ["c"])
+    assert sorted(tuple(r)[2:] for r in got.where("c = 'a'").collect()) == [("x", 0, 2, 0), ("x", 1, 2, 2), ("x", 2, 1, 4), ("y", 0, 2, 0), ("z", 0, 1, 0)] and got.count() == 10
+    assert "Aggregate" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_pieces_follow_the_input(spark, tmp_path):
     spark.range(0, 400_000, 1, 1).select("id", F.xxhash64("id").alias("x")).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
