@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,19 +38,18 @@ def paper_stats(papers: DataFrame, tables: DataFrame, fragments: DataFrame, rows
 
     ``rows``: paper, table_idx, pos (unique in a table), row_, agreement_level_, cells.
     """
-    t = tables.groupBy("paper").agg(F.count("*").alias("tables"))
-    f = fragments.groupBy("paper").agg(F.count("*").alias("fragments"))
-    r = rows.groupBy("paper").agg(
-        F.count("*").alias("rows"),
-        F.count_if(F.coalesce("agreement_level_", F.lit(1)) > 1).alias("rows_with_agreement"),
-        F.count_if(C.all_empty(F.col("cells"))).alias("empty"))
-    u = rows.groupBy("paper", "table_idx").agg(F.count_distinct("row_").alias("u")).groupBy("paper").agg(F.sum("u").alias("unique_rows"))
-    c = rows.select("paper", F.explode(C.names(F.col("cells"))).alias("name")).groupBy("paper").agg(F.count_distinct("name").alias("columns"))
-    s = shared_values(rows, ["paper", "table_idx"]).groupBy("paper").agg(F.sum("rows_in_shared_groups").alias("rows_in_shared_groups"), F.sum("rows_with_shared_values").alias("rows_with_shared_values"))
-    out = papers.select("paper").distinct()
-    for df in (t, f, r, u, c, s):
-        out = out.join(df, "paper", "left")
-    out = out.fillna(0)
+    r = rows.select("paper", "table_idx", "row_", (F.coalesce("agreement_level_", F.lit(1)) > 1).alias("agreed"), C.all_empty(F.col("cells")).alias("empty"))
+    r = r.groupBy("paper", "table_idx", "row_").agg(F.count("*").alias("rows"), F.count_if("agreed").alias("rows_with_agreement"), F.count_if("empty").alias("empty"))
+    names = rows.select("paper", C.names(F.col("cells")).alias("names")).distinct().select("paper", F.explode("names").alias("name")).where("name is not null").distinct()
+    s = shared_values(rows, ["paper", "table_idx"])
+    parts = [
+        (papers, {"own": F.lit(1)}), (tables, {"tables": F.lit(1)}), (fragments, {"fragments": F.lit(1)}), (names, {"columns": F.lit(1)}),
+        (r, {"rows": F.col("rows"), "unique_rows": F.col("row_").isNotNull().cast("bigint"), "rows_with_agreement": F.col("rows_with_agreement"), "empty": F.col("empty")}),
+        (s, {c: F.col(c) for c in ("rows_in_shared_groups", "rows_with_shared_values")})]
+    every = [n for _, own in parts for n in own]
+    # What each part counts is summed by paper in one aggregate, so papers aren't sorted and joined part by part.
+    one = [df.select("paper", *(own.get(n, F.lit(0)).cast("bigint").alias(n) for n in every)) for df, own in parts]
+    out = reduce(DataFrame.union, one).groupBy("paper").agg(*(F.sum(n).alias(n) for n in every)).where("own > 0")
     return out.select(
         "paper", "tables", "fragments", "rows", "unique_rows", "columns", "rows_with_agreement", "rows_in_shared_groups", "rows_with_shared_values",
         percent(F.col("rows_with_agreement"), F.col("rows")).alias("agreement_percentage"),

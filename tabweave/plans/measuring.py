@@ -92,8 +92,9 @@ def _lines(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     w = Window.partitionBy("l_orderkey", "l_linestatus").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax")
     cells = C.from_columns(supp=F.col("l_suppkey"), tax=F.col("l_tax"))
     rows = spread(t.lineitem, "l_orderkey").withColumn("pos", F.row_number().over(w)).select(F.col("l_orderkey").alias("paper"), F.col("l_linestatus").alias("table_idx"), F.col("l_returnflag").alias("fragment_idx"), "pos", F.col("l_linenumber").alias("row_"), F.col("l_quantity").cast("int").alias("agreement_level_"), cells.alias("cells"))
-    fragments = rows.select("paper", "table_idx", "fragment_idx").distinct()
-    return rows.select("paper").distinct(), rows.select("paper", "table_idx").distinct(), fragments, rows
+    fragments = t.lineitem.select(F.col("l_orderkey").alias("paper"), F.col("l_linestatus").alias("table_idx"), F.col("l_returnflag").alias("fragment_idx")).distinct()
+    tables = fragments.select("paper", "table_idx").distinct()
+    return tables.select("paper").distinct(), tables, fragments, rows
 
 
 @query(LINES + """ SELECT paper, tables, fragments, rows, unique_rows, 2::BIGINT AS columns, agreed AS rows_with_agreement, sg AS rows_in_shared_groups, sv AS rows_with_shared_values,

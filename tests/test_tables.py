@@ -243,6 +243,16 @@ def test_shared_values_equal_a_loop(spark):
     assert "Join" not in got._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_paper_stats_in_one_aggregate(spark):
+    papers = spark.createDataFrame([("p",), ("none",)], "paper string")
+    tables = spark.createDataFrame([("p", 0), ("p", 1), ("other", 0)], "paper string, table_idx int")
+    rows = spark.createDataFrame([("p", 0, 0, 0, 2, "a", ""), ("p", 0, 1, 0, None, "a", "b"), ("p", 0, 2, None, 1, None, " "), ("p", 1, 0, 1, 1, "a", "c")], "paper string, table_idx int, pos int, row_ int, agreement_level_ int, x string, y string")
+    rows = rows.select("*", C.from_columns("x", "y").alias("cells"))
+    got = stats.paper_stats(papers, tables, tables.where("paper = 'p'"), rows)
+    assert {r.paper: tuple(r)[1:] for r in got.collect()} == {"p": (2, 2, 4, 2, 2, 1, 2, 2, 25.0, 25.0, 100.0), "none": (0,) * 8 + (None,) * 3}
+    assert "Join" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_pairs_need_no_aggregate(spark):
     df = spark.createDataFrame([(c, 0, v, s) for c in "ab" for v, n in (("x", 5), ("y", 2), ("z", 1)) for s in range(n)], "c string, row_ int, content string, source_ord int")
     got = merge.merge_pairwise(df, ["c"])
